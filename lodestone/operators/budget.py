@@ -34,7 +34,8 @@ def fill(df: DataFrame, order: list, cost: str, limit: int) -> tuple[list[Row],
     while left > 0:
         fitting = df.filter(F.col(cost) <= left)
         if last is not None:
-            fitting = fitting.filter(position > F.struct(*[F.lit(last[c]) for c in order]))
+            reached = F.struct(*[F.lit(last[c]).cast(df.schema[c].dataType).alias(c) for c in order])
+            fitting = fitting.filter(position > reached)
         least = fitting.agg(F.min(cost)).first()[0]
         if least is None:
             break

@@ -40,7 +40,8 @@ def instances_of(nodes: DataFrame, stack_paths: DataFrame, instances: DataFrame)
     )
     wanted = (
         nodes.filter(F.col("kind").isin(*INSTANCE_KINDS))
-        .select("node_key", "module_dir", F.col("address").alias("config_address")).distinct()
+        .groupBy("module_dir", F.col("address").alias("config_address"))
+        .agg(F.first("node_key").alias("node_key"))  # the pair spells the key
     )
     return located.join(wanted, ["module_dir", "config_address"]).select(
         "node_key", "stack", "address", "index_key", "actions", "action_reason", "inst_seq"

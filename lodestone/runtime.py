@@ -3,6 +3,7 @@
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -34,6 +35,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+# A side of at most this many short rows (keys and paths) is broadcast: tens of megabytes.
+BROADCAST_ROWS = 50_000
+
+
+def sized(df: DataFrame) -> tuple[DataFrame, int]:
+    """(df, rows) of a table that `cut` made; marked for broadcast only if its counted size allows.
+
+    Beyond the bound the plain DataFrame comes back and Spark shuffles both sides.
+    """
+    rows = df.count()
+    return (F.broadcast(df) if rows <= BROADCAST_ROWS else df), rows
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute a DataFrame once into the checkpoint folder and go on from there."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -184,3 +184,123 @@ def explicit_parts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").filter("p_size = 50").select(
         F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("module_dir")
     )
+
+
+def _text_file(df: DataFrame, module_dir: str, name: str, content: str) -> DataFrame:
+    """(module_dir, file, content) from SQL expressions over one table row."""
+    return df.select(
+        F.expr(module_dir).alias("module_dir"),
+        F.concat(F.expr(module_dir), F.lit("/"), F.expr(name)).alias("file"),
+        F.expr(content).alias("content"),
+    )
+
+
+def _lines(*lines: str) -> str:
+    """A SQL expression that joins line expressions with newlines; NULL lines drop out."""
+    return "concat_ws('\\n', " + ", ".join(lines) + ", '')"
+
+
+def trade_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Configuration text written by Spark from the tables, one file per row.
+
+    A nation is a root module that calls one child module per customer; a customer's
+    directory holds one file per order. Nothing is grouped, so no file grows with the data.
+    """
+    nations = _text_file(
+        table(spark, folder, "nation"), f"concat('nations/n', {_id('n_nationkey')})", "'main.tf'",
+        _lines(
+            "concat('# ', n_name)", "'terraform {'", "'  backend \"s3\" {}'", "'}'", "''",
+            "'provider \"market\" {'", "'  alias = \"main\"'", "'}'", "''",
+            "'locals {'", "concat('  name = \"', n_name, '\"')", "'}'", "''",
+            "'module \"market\" {'", "'  source  = \"registry/market/core\"'",
+            f"concat('  version = \"4.', cast(n_nationkey % 3 as string), '.0\"')",
+            "'  label   = local.name'", "'}'",
+        ),
+    )
+    calls = _text_file(
+        table(spark, folder, "customer"), f"concat('nations/n', {_id('c_nationkey')})",
+        f"concat('c', {_id('c_custkey')}, '.tf')",
+        _lines(
+            f"concat('module \"c', {_id('c_custkey')}, '\" {{')",
+            f"concat('  source  = \"../../customers/c', {_id('c_custkey')}, '\"')",
+            "'  nation  = local.name'", "concat('  segment = \"', c_mktsegment, '\"')", "'  unknown = 1'",
+            "'  providers = { market = market.main }'", "'}'",
+            f"concat('output \"c', {_id('c_custkey')}, '_id\" {{')",
+            f"concat('  value = module.c', {_id('c_custkey')}, '.id')", "'}'",
+        ),
+    )
+    customers = _text_file(
+        table(spark, folder, "customer"), f"concat('customers/c', {_id('c_custkey')})", "'main.tf'",
+        _lines(
+            "'variable \"nation\" {'", "'  type = string'", "'}'", "'variable \"segment\" {}'", "''",
+            "'# customer.this in a comment is not a reference.'", "'resource \"customer\" \"this\" {'",
+            "CASE WHEN c_acctbal < 0 THEN '  count  = 2' ELSE '  # one' END", "'  nation = var.nation'",
+            "concat('  note   = \"customer.this $', '{var.nation}\"')", "'}'", "''",
+            "'output \"id\" {'", "'  value = customer.this.id'", "'}'",
+        ),
+    )
+    orders = _text_file(
+        table(spark, folder, "orders"), f"concat('customers/c', {_id('o_custkey')})",
+        f"concat('o', {_id('o_orderkey')}, '.tf')",
+        _lines(
+            f"concat('resource \"orders\" \"o', {_id('o_orderkey')}, '\" {{')",
+            "'  customer = customer.this.id'", "concat('  status   = \"', o_orderstatus, '\"')",
+            "'  dynamic \"line\" {'", "'    for_each = var.lines'", "'    content {'",
+            "'      number = line.value.number'", "'    }'", "'  }'",
+            "'  lifecycle {'", "'    replace_triggered_by = [customer.this]'", "'  }'", "'}'",
+            "CASE WHEN o_orderstatus = 'P' THEN concat('moved {\\n  from = orders.old', "
+            f"{_id('o_orderkey')}, '\\n  to   = orders.o', {_id('o_orderkey')}, '\\n}}') END",
+        ),
+    )
+    return nations.unionByName(calls).unionByName(customers).unionByName(orders)
+
+
+def line_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(pos, stack, source, content): a show document per order, written from its lines.
+
+    Open orders have a plan, filled ones a state with child modules, pending ones neither.
+    A group is one order's lines.
+    """
+    lines = table(spark, folder, "lineitem").join(
+        table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey"
+    )
+    module = f"concat('module.lines[\"p.', {_id('l_partkey')}, '\"]')"
+    actions = (
+        "CASE l_returnflag WHEN 'R' THEN array('delete', 'create') WHEN 'A' THEN array('update') "
+        "ELSE array('no-op') END"
+    )
+    address = f"concat({module}, '.item.line[', {_id('l_linenumber')}, ']')"
+    resource = (
+        f"'address', {address}, 'mode', 'managed', 'type', 'item', 'name', 'line', 'index', l_linenumber"
+    )
+    docs = lines.groupBy("l_orderkey", "o_orderstatus").agg(
+        F.expr(f"collect_list(named_struct({resource}, 'module_address', {module}, "
+               f"'change', named_struct('actions', {actions})))").alias("changes"),
+        F.expr(f"collect_list(named_struct('address', {module}, "
+               f"'resources', array(named_struct({resource}))))").alias("children"),
+    )
+    content = (
+        "CASE o_orderstatus WHEN 'O' THEN to_json(named_struct('terraform_version', '1.6', 'resource_changes', changes)) "
+        "WHEN 'F' THEN to_json(named_struct('terraform_version', '1.5', 'values', named_struct('root_module', "
+        "named_struct('resources', array(named_struct('address', 'orders.this', 'mode', 'managed', 'type', 'orders', "
+        "'name', 'this')), 'child_modules', children)))) ELSE '{\"format_version\":\"1.0\"}' END"
+    )
+    return docs.select(
+        F.lit(0).alias("pos"), F.expr(f"concat('orders/o', {_id('l_orderkey')})").alias("stack"),
+        F.expr(f"concat('orders/o', {_id('l_orderkey')}, '/show.json')").alias("source"), F.expr(content).alias("content"),
+    )
+
+
+def line_instances(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(instances, stack_paths): lines as instances of their suppliers, one stack per return flag."""
+    lines = table(spark, folder, "lineitem")
+    instances = lines.selectExpr(
+        "concat('r', l_returnflag) AS stack", "concat('module.s', l_linestatus) AS module_address",
+        f"concat('supplier.', {_id('l_suppkey')}) AS config_address",
+        f"concat('line.', {_id('l_orderkey')}, '[', {_id('l_linenumber')}, ']') AS address",
+        f"{_id('l_linenumber')} AS index_key",
+        "CASE WHEN l_discount > 0.05 THEN array('delete', 'create') ELSE array('update') END AS actions",
+        "'' AS action_reason", "'' AS inst_seq",
+    )
+    paths = instances.select("stack", "module_address").distinct().withColumn("module_dir", F.lit("supply"))
+    return instances, paths
