@@ -133,7 +133,7 @@ def explore_counters(spark, sf):
 
 
 def document_scores(spark, sf):
-    scores = explore.score_nodes(T.document_nodes(spark, sf), QUERY)
+    scores = explore.score_nodes(_corpus(spark, sf), QUERY)
     return scores.select("node_key", F.round("score", 4).alias("score"))
 
 
@@ -143,7 +143,7 @@ def explore_parts(spark, sf):
 
 
 def part_scores(spark, sf):
-    scores = explore.score_nodes(T.part_nodes(spark, sf), PART_QUERY)
+    scores = explore.score_nodes(corpus.Corpus.build(T.part_nodes(spark, sf)), PART_QUERY)
     return scores.select("node_key", F.round("score", 4).alias("score"))
 
 

@@ -136,7 +136,7 @@ def score_body(freqs, dfs, n_plain: int, length: Column, n_docs: float, average:
 
 
 def excerpt(body: Column, budget: Column) -> Column:
-    """struct<text, truncated, full_len>: the first `budget` bytes of a body.
+    """struct<text, truncated, full_len, shown_len>: the first `budget` bytes of a body.
 
     Lengths count UTF-8 bytes. A character cut in half becomes U+FFFD.
     """
@@ -147,5 +147,6 @@ def excerpt(body: Column, budget: Column) -> Column:
         F.when(size <= budget, body).otherwise(cut).alias("text"),
         (size > budget).alias("truncated"),
         size.alias("full_len"),
+        F.least(size, budget).alias("shown_len"),
     )
 

@@ -47,3 +47,40 @@ def fill(df: DataFrame, order: list, cost: str, limit: int) -> tuple[list[Row],
                 left -= row[cost]
                 kept.append(row)
     return kept, total - len(kept)
+
+
+def fill_grouped(
+    df: DataFrame, order: list, cost: str, group: str, header: str, limit: int
+) -> tuple[list[Row], int]:
+    """Like fill, for rows listed under headings: a row whose group was not the last one kept
+    also pays for its heading (`header`).
+
+    While the budget exceeds the dearest row everything fits and rows come in batches. After
+    that, what fits depends on the last heading printed, so the next fitting row is asked
+    for one at a time; the budget left is then less than one row can cost.
+    """
+    bounds = df.agg(
+        F.count("*").alias("n"), F.min(cost).alias("least"), F.max(F.col(cost) + F.col(header)).alias("most")
+    ).first()
+    position = F.struct(*[F.col(c) for c in order])
+    left, kept, last = limit, [], None
+    while bounds["n"] and left > 0:
+        current = F.lit(kept[-1][group] if kept else None)
+        fitting = df.filter(
+            (F.col(cost) + F.col(header) <= left) | ((F.col(group) == current) & (F.col(cost) <= left))
+        )
+        if last is not None:
+            reached = F.struct(*[F.lit(last[c]).cast(df.schema[c].dataType).alias(c) for c in order])
+            fitting = fitting.filter(position > reached)
+        size = left // max(int(bounds["least"]), 1) + 1 if left >= bounds["most"] else 1
+        batch = fitting.orderBy(*order).limit(size).collect()
+        if not batch:
+            break
+        for i, row in enumerate(batch):
+            if i and left < bounds["most"]:
+                break
+            headed = not kept or kept[-1][group] != row[group]
+            left -= row[cost] + (row[header] if headed else 0)
+            kept.append(row)
+            last = row
+    return kept, bounds["n"] - len(kept)

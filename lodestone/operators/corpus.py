@@ -33,16 +33,25 @@ def corpus_stats(docs: DataFrame, length: str = "length") -> DataFrame:
     )
 
 
+IDENTITY = (
+    "node_key", "module_dir", "address", "kind", "type", "name", "source", "file", "deprecated",
+)
+
+
 @dataclass(frozen=True)
 class Corpus:
-    """docs(node_key, terms, length) and what follows from it. All parts are lazy."""
+    """docs: every node with its terms and length instead of its text, and what follows from it.
+
+    The identity columns stay beside the terms, so ranking reads one table and joins nothing.
+    All parts are lazy; cut docs to keep them.
+    """
 
     docs: DataFrame
 
     @classmethod
     def build(cls, nodes: DataFrame) -> "Corpus":
         terms = nodes.select(
-            "node_key", X.tokens(S.node_text(F.col("doc"), F.col("body"))).alias("terms")
+            *IDENTITY, X.tokens(S.node_text(F.col("doc"), F.col("body"))).alias("terms")
         )
         return cls(terms.withColumn("length", X.fused_length(F.col("terms"))))
 

@@ -27,28 +27,21 @@ def _frequency(term: str):
     )
 
 
-def score_nodes(nodes: DataFrame, query: str, corpus: Corpus | None = None) -> DataFrame:
+def score_nodes(corpus: Corpus, query: str) -> DataFrame:
     """(node_key, module_dir, address, score) of every node, before the floor.
 
-    Nothing is exploded or grouped per node: a row keeps only its occurrences of the query's
-    terms, so the whole ranking is one narrow pass plus one small aggregate over the corpus.
-    That pass is persisted because both the statistics and the scores read it.
+    Nothing is exploded, joined or grouped per node: a row keeps only its occurrences of the
+    query's terms, so the whole ranking is one narrow pass plus one small aggregate. That
+    pass is persisted because both the statistics and the scores read it.
     """
-    spark = nodes.sparkSession
     query = query.strip()
-    plain, both = X.query_terms(spark, query)
+    plain, both = X.query_terms(corpus.docs.sparkSession, query)
 
-    identity = nodes.select(
-        "node_key", "module_dir", "address",
+    rows = corpus.docs.select(
+        "node_key", "module_dir", "address", "terms", "length",
         (S.score_exact(query) + S.ADDRESS_PARTIAL_WEIGHT * S.identity_coverage(both)).alias("identity"),
         S.authority(F.col("kind"), F.col("file"), F.col("deprecated")).alias("authority"),
-        *([] if corpus else [X.tokens(S.node_text(F.col("doc"), F.col("body"))).alias("terms")]),
     )
-    if corpus:
-        rows = identity.join(corpus.docs, "node_key")
-    else:
-        rows = identity.withColumn("length", X.fused_length(F.col("terms")))
-
     matched = rows.select(
         "node_key", "module_dir", "address", "identity", "authority", "length",
         F.filter("terms", lambda t: t.isin(*both) if both else F.lit(False)).alias("own"),
@@ -113,7 +106,7 @@ def explore(
     shown = min(max_nodes, affordable) if affordable >= 1 else max_nodes
 
     if query.strip():
-        scores = score_nodes(nodes, query, corpus)
+        scores = score_nodes(corpus or Corpus.build(nodes), query)
     else:
         scores = nodes.select("node_key", "module_dir", "address", F.lit(0.0).alias("score"))
     above = F.col("score") >= S.MIN_RELEVANCE_SCORE

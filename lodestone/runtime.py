@@ -11,6 +11,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Python call sites are not recorded for every column; plans are built from many.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -17,23 +17,48 @@ _DEFAULTS = {
 }
 
 
+# Stated so that opening a table needs no job to read a file footer.
+_SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+                "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, "
+                "l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+    "pages": "page_id BIGINT, url STRING, html STRING",
+    "benchmark": "item_id BIGINT, text STRING",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    reader = spark.read.schema(_SCHEMAS[name]) if name in _SCHEMAS else spark.read
+    return reader.parquet(f"{folder}/{name}.parquet")
+
+
+def _project(df: DataFrame, schema, exprs: dict) -> DataFrame:
+    return df.selectExpr(*[
+        f"CAST({exprs[f.name]} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema
+    ])
 
 
 def as_nodes(df: DataFrame, seq: str, **columns: str) -> DataFrame:
     """SQL expressions for some node columns; the rest get the absent value."""
-    exprs = {
+    return _project(df, NODES, {
         **_DEFAULTS, **columns,
         "node_key": f"concat({columns['module_dir']}, '|', {columns['address']})",
         "node_seq": f"lpad(cast({seq} as string), 12, '0')",
-    }
-    return df.select(*[F.expr(exprs[f.name]).cast(f.dataType).alias(f.name) for f in NODES])
+    })
 
 
 def as_edges(df: DataFrame, **columns: str) -> DataFrame:
-    exprs = {"unresolved": "''", "traversal": "''", "file": "''", "line": "1", **columns}
-    return df.select(*[F.expr(exprs[f.name]).cast(f.dataType).alias(f.name) for f in EDGES])
+    return _project(df, EDGES, {"unresolved": "''", "traversal": "''", "file": "''", "line": "1", **columns})
 
 
 def _id(column: str) -> str:
