@@ -4,6 +4,8 @@ The operators cannot tell these from a parsed repository. Every adapter covers i
 tables; sizes follow the tables.
 """
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +39,33 @@ _SCHEMAS = {
 }
 
 
+# Tables whose rows cost much more to process than to read, and the keys to spread them by.
+_SPREAD = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
+_SPREAD_BYTES_PER_CORE = 64 << 20
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     reader = spark.read.schema(_SCHEMAS[name]) if name in _SCHEMAS else spark.read
-    return reader.parquet(f"{folder}/{name}.parquet")
+    df = reader.parquet(f"{folder}/{name}.parquet")
+    return spread(df, f"{folder}/{name}.parquet", *_SPREAD[name]) if name in _SPREAD else df
+
+
+def spread(df: DataFrame, path: str, *keys: str) -> DataFrame:
+    """Share a small input out over all cores; leave a large one as its files split it.
+
+    A table of one row group is one task however many cores wait. Up to 64 MB per core the
+    shuffle costs little; beyond that the scan has splits enough and nothing is moved. The
+    size comes from a listing, not from reading.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = _bytes(spark, path)
+    return df.repartition(cores, *keys) if size < cores * _SPREAD_BYTES_PER_CORE else df
+
+
+@lru_cache(maxsize=256)
+def _bytes(spark: SparkSession, path: str) -> int:
+    return spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
 
 
 def _project(df: DataFrame, schema, exprs: dict) -> DataFrame:
@@ -277,7 +303,8 @@ def trade_files(spark: SparkSession, folder: str) -> DataFrame:
             f"{_id('o_orderkey')}, '\\n  to   = orders.o', {_id('o_orderkey')}, '\\n}}') END",
         ),
     )
-    return nations.unionByName(calls).unionByName(customers).unionByName(orders)
+    files = nations.unionByName(calls).unionByName(customers).unionByName(orders)
+    return spread(files, f"{folder}/orders.parquet", "file")
 
 
 def line_documents(spark: SparkSession, folder: str) -> DataFrame:
