@@ -256,7 +256,7 @@ def module_first_sites(spark, sf):
 
 
 def star_orphans(spark, sf):
-    roots = T.table(spark, sf, "nation").select(F.lit("geo").alias("module_dir")).distinct()
+    roots = spark.createDataFrame([("geo",)], "module_dir string")
     found = orphans.orphans(T.star_nodes(spark, sf), T.star_edges(spark, sf), roots)
     return found.select("node_key", "reason")
 

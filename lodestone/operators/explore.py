@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as X
+from ..runtime import cut
 from .corpus import Corpus
 
 
@@ -27,34 +28,38 @@ def _frequency(term: str):
     )
 
 
-def score_nodes(corpus: Corpus, query: str) -> DataFrame:
-    """(node_key, module_dir, address, score) of every node, before the floor.
+def matches(corpus: Corpus, query: str) -> tuple[DataFrame, int, list[str]]:
+    """(rows, plain, freqs): what one query needs of each node, and nothing of its text.
 
-    Nothing is exploded, joined or grouped per node: a row keeps only its occurrences of the
-    query's terms, so the whole ranking is one narrow pass plus one small aggregate. That
-    pass is persisted because both the statistics and the scores read it.
+    A row keeps its identity score, authority, length and one frequency per query term, named
+    in freqs; the first `plain` of them are plain terms, the rest pairs. Nothing is exploded,
+    joined or grouped, so this is one narrow pass.
     """
     query = query.strip()
     plain, both = X.query_terms(corpus.docs.sparkSession, query)
+    carried = ("node_key", "module_dir", "address", "identity", "authority", "length")
+
+    def occurring(terms):
+        return F.filter(terms, lambda t: t.isin(*both) if both else F.lit(False))
 
+    freqs = [f"f{i}" for i in range(len(both))]
     rows = corpus.docs.select(
         "node_key", "module_dir", "address", "terms", "length",
         (S.score_exact(query) + S.ADDRESS_PARTIAL_WEIGHT * S.identity_coverage(both)).alias("identity"),
         S.authority(F.col("kind"), F.col("file"), F.col("deprecated")).alias("authority"),
-    )
-    matched = rows.select(
-        "node_key", "module_dir", "address", "identity", "authority", "length",
-        F.filter("terms", lambda t: t.isin(*both) if both else F.lit(False)).alias("own"),
-        F.filter(X.pairs(F.col("terms")), lambda t: t.isin(*both) if both else F.lit(False)).alias("adjacent"),
-    )
-    freqs = [f"f{i}" for i in range(len(both))]
-    reduced = matched.select(
-        "node_key", "module_dir", "address", "identity", "authority", "length",
-        *[_frequency(term).alias(name) for name, term in zip(freqs, both)],
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    ).select(
+        *carried, occurring(F.col("terms")).alias("own"), occurring(X.pairs(F.col("terms"))).alias("adjacent")
+    ).select(*carried, *[_frequency(term).alias(name) for name, term in zip(freqs, both)])
+    return rows, len(plain), freqs
+
+
+def score_matches(rows: DataFrame, plain: int, freqs: list[str]) -> DataFrame:
+    """(node_key, module_dir, address, score) of every node, before the floor.
 
+    rows are read twice, for the statistics and for the scores, so keep them first.
+    """
     n = F.count("*")
-    stats = reduced.agg(
+    stats = rows.agg(
         n.cast("double").alias("n"),
         F.greatest(
             F.lit(1.0), F.coalesce(F.sum("length"), F.lit(0.0)) / F.greatest(n, F.lit(1))
@@ -63,14 +68,20 @@ def score_nodes(corpus: Corpus, query: str) -> DataFrame:
     ).first()  # one row: two numbers and one per query term
     body = S.score_body(
         [F.col(name) for name in freqs], [stats[name] for name in freqs],
-        len(plain), F.col("length"), stats["n"], stats["average"],
+        plain, F.col("length"), stats["n"], stats["average"],
     )
-    return reduced.select(
+    return rows.select(
         "node_key", "module_dir", "address",
         ((F.col("identity") + S.BODY_WEIGHT * body) * F.col("authority")).alias("score"),
     )
 
 
+def score_nodes(corpus: Corpus, query: str) -> DataFrame:
+    """The score of every node, unranked and uncut."""
+    rows, plain, freqs = matches(corpus, query)
+    return score_matches(cut(rows), plain, freqs)
+
+
 def edge_counts(edges: DataFrame, keys: list[str]) -> DataFrame:
     """(node_key, ref_count, ref_by_count) over all edge kinds, for at most 25 hits.
 
@@ -96,8 +107,8 @@ def explore(
 ) -> ExploreResult:
     """Rank nodes against free text, an address, a name or a type.
 
-    Only the winners' keys and scores (at most MAX_NODES_CEILING rows) pass through the
-    driver; their bodies are fetched by a broadcast of those keys.
+    Only two counts and the winners' keys and scores (at most MAX_NODES_CEILING rows) pass
+    through the driver; the winners' bodies are fetched by a broadcast of those keys.
     """
     spark = nodes.sparkSession
     max_nodes = S.clamp(max_nodes, 1, S.MAX_NODES_CEILING)
@@ -105,23 +116,24 @@ def explore(
     affordable = char_budget // S.MIN_PER_NODE_BUDGET
     shown = min(max_nodes, affordable) if affordable >= 1 else max_nodes
 
+    # Rounded before ordering, so that equal texts tie whatever the order of a sum was.
+    order = [F.round("score", 9).desc(), "module_dir", "address", "node_key"]
     if query.strip():
-        scores = score_nodes(corpus or Corpus.build(nodes), query)
+        rows, plain, freqs = matches(corpus or Corpus.build(nodes), query)
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            scores = score_matches(rows, plain, freqs)
+            above = F.col("score") >= S.MIN_RELEVANCE_SCORE
+            considered, n_above = scores.agg(F.count("*"), F.count_if(above)).first()
+            top = scores.filter(above).orderBy(*order).limit(shown).select("node_key", "score").collect()
+        finally:
+            rows.unpersist()
     else:
-        scores = nodes.select("node_key", "module_dir", "address", F.lit(0.0).alias("score"))
-    above = F.col("score") >= S.MIN_RELEVANCE_SCORE
-
-    n_above = F.count_if(above)
-    counters = scores.agg(
-        F.count("*").alias("considered"),
-        n_above.alias("above_threshold"),
-        F.least(n_above, F.lit(shown)).alias("shown"),
-        F.greatest(F.least(n_above, F.lit(max_nodes)) - shown, F.lit(0)).alias("dropped_for_budget"),
+        considered, n_above, top = nodes.count(), 0, []
+    counters = spark.createDataFrame(
+        [(considered, n_above, len(top), max(min(n_above, max_nodes) - shown, 0))],
+        "considered long, above_threshold long, shown long, dropped_for_budget long",
     )
-
-    # Rounded before ordering, so that equal texts tie whatever the order of a sum was.
-    order = [F.round("score", 9).desc(), "module_dir", "address", "node_key"]
-    top = scores.filter(above).orderBy(*order).limit(shown).select("node_key", "score").collect()
     share = max(S.MIN_PER_NODE_BUDGET, char_budget // max(len(top), 1))
 
     winners = spark.createDataFrame(top, "node_key string, score double")

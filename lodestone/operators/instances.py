@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.address import node_key
 from ..schema import INSTANCE_KINDS
 
 
@@ -40,8 +41,8 @@ def instances_of(nodes: DataFrame, stack_paths: DataFrame, instances: DataFrame)
     )
     wanted = (
         nodes.filter(F.col("kind").isin(*INSTANCE_KINDS))
-        .groupBy("module_dir", F.col("address").alias("config_address"))
-        .agg(F.first("node_key").alias("node_key"))  # the pair spells the key
+        .select("module_dir", F.col("address").alias("config_address")).distinct()
+        .withColumn("node_key", node_key(F.col("module_dir"), F.col("config_address")))
     )
     return located.join(wanted, ["module_dir", "config_address"]).select(
         "node_key", "stack", "address", "index_key", "actions", "action_reason", "inst_seq"

@@ -38,7 +38,7 @@ class Index:
         """Every node's instances, or None without a usable overlay."""
         if self.overlay is None or not self.overlay.is_available():
             return None
-        return instances.instances_of(self.graph.nodes, self.graph.stack_paths, self.overlay.instances)
+        return cut(instances.instances_of(self.graph.nodes, self.graph.stack_paths, self.overlay.instances))
 
     def unavailable_reason(self) -> str:
         return self.reason if self.overlay is None else self.overlay.unavailable_reason()

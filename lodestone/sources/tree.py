@@ -8,6 +8,7 @@ be read is left out.
 
 import os
 import sys
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -81,27 +82,34 @@ def _child(module_dir="module_dir", name="name"):
     return F.concat_ws("/", F.nullif(F.col(module_dir), F.lit("")), F.col(name))
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
+@contextmanager
+def listing(spark: SparkSession, root: str):
     """(module_dir, name, file, size, modified) of every file below root, skipped trees cut off.
 
     The frontier of a level is spread over the cluster before it is listed, so one directory
-    with most of the tree below it only shares its task with others for one level.
+    with most of the tree below it only shares its task with others for one level. The levels
+    are kept while the context is open.
     """
     level = spark.createDataFrame([("",)], "module_dir string")
     levels = []
-    while True:
-        found = level.mapInArrow(_lister(root), _ENTRY).persist(StorageLevel.MEMORY_AND_DISK)
-        levels.append(found)
-        below = found.filter(F.col("is_dir") & ~F.col("name").isin(*SKIPPED_DIRS))
-        n = below.count()
-        if n == 0:
-            break
-        tasks = min(n, spark.sparkContext.defaultParallelism * 4)
-        level = below.select(_child().alias("module_dir")).repartition(tasks, "module_dir")
-    files = levels[0]
-    for more in levels[1:]:
-        files = files.unionByName(more)
-    return files.filter("NOT is_dir").select("module_dir", "name", _child().alias("file"), "size", "modified")
+    try:
+        while True:
+            found = level.mapInArrow(_lister(root), _ENTRY).persist(StorageLevel.MEMORY_AND_DISK)
+            levels.append(found)
+            below = found.filter(F.col("is_dir") & ~F.col("name").isin(*SKIPPED_DIRS))
+            n = below.count()
+            if n == 0:
+                break
+            tasks = min(n, spark.sparkContext.defaultParallelism * 4)
+            level = below.select(_child().alias("module_dir")).repartition(tasks, "module_dir")
+        files = levels[0]
+        for more in levels[1:]:
+            files = files.unionByName(more)
+        yield files.filter("NOT is_dir").select(
+            "module_dir", "name", _child().alias("file"), "size", "modified")
+    finally:
+        for found in levels:
+            found.unpersist()
 
 
 def configuration(files: DataFrame) -> DataFrame:

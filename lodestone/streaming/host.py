@@ -32,9 +32,9 @@ class Host:
         return self
 
     def current(self) -> Index:
-        files = tree.listing(self.spark, self.repo_root)
-        config_stamp = self._stamp(tree.configuration(files), size=False)
-        with self._lock:
+        """The index, rebuilding whichever half has gone stale."""
+        with tree.listing(self.spark, self.repo_root) as files, self._lock:
+            config_stamp = self._stamp(tree.configuration(files), size=False)
             stale = self._index is None or config_stamp != self._config_stamp
             if stale:
                 try:
