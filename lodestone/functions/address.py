@@ -81,8 +81,10 @@ def base_name(path: Column) -> Column:
 
 
 # Addresses of expanded modules, as plan and state documents write them.
-_KEY = r'\[(?:"[^"]*"|[^\]"])*\]'
-_SEGMENT = rf"module\.(?:{_KEY}|\"[^\"]*\"|[^.\[\"])*"
+# Possessive throughout: a long key costs one step, not a stack of choices.
+_KEY = r'\[(?:[^\]"]++|"[^"]*+")*+\]'
+_PART = rf'[^.\["]*+(?:(?:{_KEY}|"[^"]*+")[^.\["]*+)*+'
+_SEGMENT = rf"module\.{_PART}"
 
 
 def module_segments(address: Column) -> Column:
@@ -91,7 +93,7 @@ def module_segments(address: Column) -> Column:
     An address that is not a run of module segments has none. A trailing lone part is
     ignored.
     """
-    shape = rf"^{_SEGMENT}(?:\.{_SEGMENT})*(?:\.(?:{_KEY}|\"[^\"]*\"|[^.\[\"])*)?$"
+    shape = rf"^{_SEGMENT}(?:\.{_SEGMENT})*+(?:\.{_PART})?$"
     return F.when(
         address.rlike(shape), F.regexp_extract_all(address, F.lit(f"({_SEGMENT})(?=\\.|$)"), F.lit(1))
     ).otherwise(F.array().cast("array<string>"))

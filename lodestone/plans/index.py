@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..operators import counts, explore, impact, instances, lookup, modules, orphans
 from ..operators.corpus import Corpus
-from ..runtime import cut
+from ..runtime import cut, keep
 from ..sources import overlay as ov
 from .load import Graph
 
@@ -19,7 +19,7 @@ class Index:
     def __init__(self, spark: SparkSession, graph: Graph, overlay: ov.Overlay | None = None,
                  reason: str = ov.NOT_SUPPLIED, corpus: Corpus | None = None):
         self.spark, self.graph, self.overlay, self.reason = spark, graph, overlay, reason
-        self.corpus = corpus or Corpus(cut(Corpus.build(graph.nodes).docs))
+        self.corpus = corpus or Corpus(keep(Corpus.build(graph.nodes).docs, "corpus"))
 
     def with_overlay(self, overlay: ov.Overlay | None) -> "Index":
         """The same configuration with other plan facts; the corpus is shared."""
@@ -38,7 +38,8 @@ class Index:
         """Every node's instances, or None without a usable overlay."""
         if self.overlay is None or not self.overlay.is_available():
             return None
-        return cut(instances.instances_of(self.graph.nodes, self.graph.stack_paths, self.overlay.instances))
+        return keep(
+            instances.instances_of(self.graph.nodes, self.graph.stack_paths, self.overlay.instances), "node-instances")
 
     def unavailable_reason(self) -> str:
         return self.reason if self.overlay is None else self.overlay.unavailable_reason()

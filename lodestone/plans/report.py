@@ -146,7 +146,7 @@ def explore_text(ix: Index, query: str, max_nodes: int = 5, char_budget: int = S
     result = ix.explore(query, max_nodes, char_budget)
     hits = result.hits.withColumn("identity", _identity()).collect() if query.strip() else []
     if not hits:
-        return EXPLORE_MISS.format(query=_quote(query), nodes=ix.totals["n_nodes"], roots=len(ix.root_dirs))
+        return EXPLORE_MISS.format(query=_quote(query), nodes=ix.totals["n_nodes"], roots=ix.graph.roots.count())
     left_out = result.counters.first()
     text = EXPLORE_HEAD.format(shown=len(hits), considered=left_out["considered"],
                                best=hits[0]["score"], worst=hits[-1]["score"])

@@ -1,6 +1,7 @@
 """Session defaults and the durable cut of long lineages."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +59,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute a DataFrame once into the checkpoint folder and go on from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that many queries read into the checkpoint folder, and read it back.
+
+    Unlike a checkpoint the table is columnar: a query reads only its columns, filters reach
+    the files, and Spark knows the size when it chooses a join. The folder is the
+    application's own, below spark.checkpoint.dir.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import address as A
-from ..runtime import cut
+from ..runtime import cut, keep
 from ..schema import INSTANCES
 
 # Overlay file names in order of preference, plans before states.
@@ -186,6 +186,7 @@ def module_instances(resources: DataFrame) -> DataFrame:
 def build(documents: DataFrame) -> Overlay:
     """documents(pos, stack, source, content) to an overlay; broken files do not stop the others.
 
+    An optional `error` says why a document could not be read at all.
     Where a stack is named twice, the last readable document counts.
     """
     parsed = documents.withColumn(
@@ -193,8 +194,10 @@ def build(documents: DataFrame) -> Overlay:
     )
     kind = F.when(F.size("doc.resource_changes") > 0, "plan").when(F.col("doc.values").isNotNull(), "state")
     is_json = F.col("doc").isNotNull() & F.col("doc.broken").isNull()
+    unread = F.col("error") if "error" in documents.columns else F.lit(None).cast("string")
     reason = (
-        F.when(~is_json, F.concat("source", F.lit(NOT_A_DOCUMENT)))
+        F.when(unread.isNotNull(), unread)
+        .when(~is_json, F.concat("source", F.lit(NOT_A_DOCUMENT)))
         .when(kind.isNull(), F.concat("source", F.lit(NEITHER)))
     )
     docs = cut(parsed.select("pos", "stack", "source", "doc", kind.alias("kind"), reason.alias("reason")))
@@ -209,4 +212,4 @@ def build(documents: DataFrame) -> Overlay:
     overlays = good.select(
         "stack", "source", "kind", F.coalesce("doc.terraform_version", F.lit("")).alias("terraform_version")
     )
-    return Overlay(overlays, cut(rows.select(INSTANCES.fieldNames())), failures)
+    return Overlay(overlays, keep(rows.select(INSTANCES.fieldNames()), "instances"), failures)

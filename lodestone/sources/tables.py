@@ -40,7 +40,9 @@ _SCHEMAS = {
 
 
 # Tables whose rows cost much more to process than to read, and the keys to spread them by.
-_SPREAD = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
+_SPREAD = {
+    "documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"], "lineitem": ["l_orderkey"],
+}
 _SPREAD_BYTES_PER_CORE = 64 << 20
 
 

@@ -95,4 +95,6 @@ class Host:
         if found.isEmpty():
             return None
         read = tree.read_text(found.select("pos", "stack", "path"), self.repo_root, "path")
-        return overlay.build(read.withColumnRenamed("path", "source"))
+        full = F.when(F.col("path").startswith("/"), F.col("path")).otherwise(
+            F.concat(F.lit(self.repo_root.rstrip("/") + "/"), "path"))
+        return overlay.build(read.withColumn("source", full))

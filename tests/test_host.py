@@ -92,7 +92,7 @@ def test_status_explains_a_bad_overlay_and_a_parse_error(spark, tmp_path):
     host = Host(spark, str(tmp_path))
     tools = Tools(host)
     text = tools.terra_status()
-    assert "plan overlay: not loaded — b/plan.json: not a terraform show -json document." in text
+    assert f"plan overlay: not loaded — {tmp_path}/b/plan.json: not a terraform show -json document." in text
     assert "parse errors (1):\n  a/main.tf: line 2" in text
     assert "unresolved references: 1 of 1" in text
     host.with_plan("one.json")
@@ -100,7 +100,9 @@ def test_status_explains_a_bad_overlay_and_a_parse_error(spark, tmp_path):
     assert "has 2 roots (a, b)" in str(host.explicit_plan_error())
     os.remove(tmp_path / "b" / "main.tf")
     host.with_plan("a=" + str(tmp_path / "none.json"))
-    assert host.current().root_dirs == ["a"] and host.builds == 2
+    index = host.current()
+    assert index.root_dirs == ["a"] and host.builds == 2
+    assert "No such file" in index.unavailable_reason()
     assert host.explicit_plan_error() is None
 
 
