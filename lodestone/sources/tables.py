@@ -150,12 +150,17 @@ def star_edges(spark: SparkSession, folder: str) -> DataFrame:
         as_edges(t("orders"), edge_seq=seq(4, "o_orderkey"), kind="'CALLS'",
                  from_key=key("sales", "orders", "o_orderkey"), to_key=key("sales", "customer", "o_custkey"),
                  file="'sales/orders'", line="0", traversal="o_orderstatus"),
-        as_edges(lines, edge_seq=seq(5, "l_orderkey", "l_linenumber", "l_partkey"), kind=read_kind,
-                 from_key=key("sales", "orders", "l_orderkey"), to_key=key("supply", "part", "l_partkey"),
-                 file="'sales/lineitem'", line="l_linenumber", traversal="l_linestatus"),
-        as_edges(lines, edge_seq=seq(6, "l_orderkey", "l_linenumber", "l_suppkey"), kind="'DEPENDS_ON'",
-                 from_key=key("sales", "orders", "l_orderkey"), to_key=key("supply", "supplier", "l_suppkey"),
-                 file="'sales/lineitem'", line="l_linenumber"),
+        # A line names a part and a supplier: both edges come from one pass over the lines.
+        as_edges(
+            lines.select("*", F.expr(
+                "inline(array(named_struct('rank', 5, 'peer', 'supply|part.', 'id', l_partkey, 'read', true), "
+                "named_struct('rank', 6, 'peer', 'supply|supplier.', 'id', l_suppkey, 'read', false)))")),
+            edge_seq=f"concat_ws('|', {_id('rank')}, " + ", ".join(
+                f"lpad({_id(k)}, 12, '0')" for k in ("l_orderkey", "l_linenumber", "id")) + ")",
+            kind=f"CASE WHEN read THEN {read_kind} ELSE 'DEPENDS_ON' END",
+            from_key=key("sales", "orders", "l_orderkey"), to_key=f"concat(peer, {_id('id')})",
+            file="'sales/lineitem'", line="l_linenumber", traversal="CASE WHEN read THEN l_linestatus ELSE '' END",
+        ),
     ]
     edges = parts[0]
     for part in parts[1:]:
