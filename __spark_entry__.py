@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -21,6 +22,11 @@ from lodestone.sources import overlay  # noqa: E402
 from lodestone.sources import tables as T  # noqa: E402
 from oracle import sql as oracle  # noqa: E402
 
+if all(importlib.util.find_spec(m) for m in ("lodestone.llm", "corpus_pipeline")):
+    from lodestone.llm import queries as llm
+else:
+    llm = None  # the library works without its text pipeline
+
 QUERY = oracle.QUERY
 PART_QUERY = oracle.PART_QUERY
 
@@ -429,8 +435,9 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in _QUERIES}
+    own = {q.__name__: q for q in _QUERIES}
+    return own if llm is None else own | llm.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.all_sql()
+    return oracle.all_sql() if llm is None else oracle.all_sql() | llm.oracle_sql()

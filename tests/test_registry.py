@@ -11,13 +11,14 @@ FOLDER = "/root/testdata/sf0.001"
 SAMPLE = ["explore_documents", "part_scores", "term_df", "refs_by_address", "impact_dependents", "impact_summary",
           "star_orphans", "owning_stacks", "stack_paths", "config_nodes", "config_edges", "config_orphans",
           "overlay_instances", "module_address_split", "excerpt"]
-NAMES = list(entry.queries()) if os.environ.get("ORACLE_ALL") else SAMPLE
+OWN = [q.__name__ for q in entry._QUERIES]
+NAMES = OWN if os.environ.get("ORACLE_ALL") else SAMPLE
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(OWN) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
