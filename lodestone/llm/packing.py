@@ -9,8 +9,9 @@ Defined results: null text is an empty document (its end token only); a repeated
 once for each row; a null doc_id is kept; an empty table gives no rows.
 """
 
-import re
+import base64
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -24,49 +25,32 @@ CAPACITY = 2048
 OPEN = 4096
 #: Tokens that one task packs: 16,384 sequences.
 TASK_TOKENS = CAPACITY * 16_384
-#: Words whose ids a task remembers.
-REMEMBERED = 200_000
 END = 0
 
-_AHEAD = re.compile(r"(?= \S)")
-_ODD = re.compile(r" \s| \Z")
-
 
 class Ids:
-    """Token ids as bytes. A byte-level BPE never joins across a space that a word follows, so the
-    parts between such spaces are encoded alone, and frequent parts are remembered."""
+    """Token ids as bytes.
+
+    The vocabulary's ranks give the same ids as its tokenizer file several times faster; a text
+    that may spell a special token goes through the tokenizer file, which knows those.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, tokenizer: str, ranks: str, pattern: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for t in texts:
-            if not t:
-                split.append([])
-            elif _ODD.search(t):
-                split.append([w for w in _AHEAD.split(t) if w])
-            else:
-                first, *rest = t.split(" ")
-                split.append([first] * bool(first) + [" " + w for w in rest])
-        known = self.known
-        new = list({w for s in split for w in s if w not in known})
-        if new:
-            held = {w: known[w] for s in split for w in s if w in known} if len(known) + len(new) > REMEMBERED else None
-            self._learn(new)
-            if held:
-                known.update(held)
-        get = known.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        with open(ranks, "rb") as f:
+            ordinary = {base64.b64decode(k): int(v) for k, v in map(bytes.split, f)}
+        self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ordinary, special_tokens={})
+        self.tokenizer = Tokenizer.from_file(tokenizer)
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+
+    def of(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.ranks.encode_ordinary(text)
+        return np.array(array("I", ids), "<u4").tobytes()
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -78,17 +62,19 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     return [(s, (first if first and s == 0 else capacity)) for s in starts]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, row): the documents tokenized and cut."""
+def pieces(docs: DataFrame, vocabulary: tuple[str, str, str], capacity: int = CAPACITY) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, row): the documents tokenized and cut.
+
+    vocabulary: the tokenizer's file, its ranks' file, and the pattern that splits words.
+    """
 
     def run(batches):
-        ids = Ids(tokenizer)
+        ids = Ids(*vocabulary)
         end = np.array([END], "<u4").tobytes()
         for pdf in pieces_of(batches, lambda r: len(r.text or ""), 2 << 20):
             out = []
-            texts = [t or "" for t in pdf["text"]]
-            for d, row, b in zip(pdf["doc_id"], pdf["row"], ids.of(texts), strict=True):
-                b += end
+            for d, row, text in zip(pdf["doc_id"], pdf["row"], pdf["text"], strict=True):
+                b = ids.of(text or "") + end
                 view = memoryview(b)
                 out += [(d, i, s, n, zlib.crc32(view[4 * s:4 * (s + n)]), row) for i, (s, n) in enumerate(cut(len(b) // 4, capacity))]
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "row"]).astype({"doc_id": "Int64"})
@@ -160,6 +146,6 @@ def assign(parts: DataFrame, capacity: int = CAPACITY, task_tokens: int = TASK_T
     return out.drop("row")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: tuple[str, str, str], capacity: int = CAPACITY) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return assign(keep(pieces(docs, tokenizer, capacity), "pieces"), capacity)
+    return assign(keep(pieces(docs, vocabulary, capacity), "pieces"), capacity)

@@ -4,10 +4,10 @@ from . import nearest, packing, secrets, topk
 from .common import table
 
 
-def _tokenizer() -> str:
-    import public_tokenizers
+def vocabulary() -> tuple[str, str, str]:
+    import public_tokenizers as p
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return p.path("byte_bpe_50k.json"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN
 
 
 def op5_secret_scan(spark, sf):
@@ -15,7 +15,7 @@ def op5_secret_scan(spark, sf):
 
 
 def op6_best_fit_packing(spark, sf):
-    return packing.pack(table(spark, sf, "documents"), _tokenizer())
+    return packing.pack(table(spark, sf, "documents"), vocabulary())
 
 
 def op8_nearest_neighbours(spark, sf):
