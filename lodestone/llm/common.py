@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import keep
 
-__all__ = ["keep", "mix64", "partitions", "pieces_of", "table"]
+__all__ = ["keep", "mix64", "partitions", "pieces_of", "semi", "table"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -40,3 +40,17 @@ def pieces_of(batches, size, most_bytes: int = 8 << 20, most_rows: int = 4096):
                 start, total = i, 0
             total += int(n)
         yield pdf.iloc[start:]
+
+
+def semi(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key columns are among `keys`, which Spark turns into a Bloom filter of bounded
+    size first, so that rows without a key are not shuffled. Without the filter the result is the same.
+    """
+    conf = rows.sparkSession.conf
+    conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+    conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1t")
+    # Bits for this many keys, at most.
+    conf.set("spark.sql.optimizer.runtime.bloomFilter.maxNumItems", "8000000")
+    conf.set("spark.sql.optimizer.runtime.bloomFilter.maxNumBits", str(1 << 26))
+    return rows.join(keys.dropDuplicates(), keys.columns, "left_semi")

@@ -1,6 +1,6 @@
 """The registered queries of the subpackage, and their SQL where SQL can express them."""
 
-from . import nearest, packing, secrets, topk
+from . import nearest, packing, quality, secrets, topk
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op6_best_fit_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), vocabulary())
 
 
+def op7_quality_classifier(spark, sf):
+    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op8_nearest_neighbours(spark, sf):
     return nearest.embeddings_nearest(table(spark, sf, "embeddings"))
 
