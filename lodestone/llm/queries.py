@@ -1,6 +1,6 @@
 """The registered queries of the subpackage, and their SQL where SQL can express them."""
 
-from . import nearest, packing, quality, secrets, topk
+from . import html, mixing, nearest, packing, pii, quality, secrets, topk
 from .common import table
 
 
@@ -10,6 +10,16 @@ def vocabulary() -> tuple[str, str, str]:
     return p.path("byte_bpe_50k.json"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN
 
 
+def op2_personal_data(spark, sf):
+    return pii.digest(pii.spans(pii.extract(table(spark, sf, "documents"))))
+
+
+def op3_source_mixing(spark, sf):
+    docs = table(spark, sf, "documents")
+    labelled = mixing.labelled_documents(docs, table(spark, sf, "labels"))
+    return mixing.rates(docs, labelled, mixing.TARGETS).drop("mark", "row")
+
+
 def op5_secret_scan(spark, sf):
     return secrets.digest(secrets.scan(table(spark, sf, "documents")))
 
@@ -26,6 +36,10 @@ def op8_nearest_neighbours(spark, sf):
     return nearest.embeddings_nearest(table(spark, sf, "embeddings"))
 
 
+def op9_main_text(spark, sf):
+    return html.extract(table(spark, sf, "pages"))
+
+
 def op10_exact_topk(spark, sf):
     return topk.embeddings_top(table(spark, sf, "embeddings"))
 
