@@ -11,7 +11,6 @@ Defined results: null or empty html gives empty text; a repeated page_id gives a
 unclosed and stray tags are repaired as browsers do; other columns are ignored.
 """
 
-import math
 import random
 import re
 from dataclasses import dataclass, field
@@ -25,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import pieces_of
 
 #: Generated pages and boosting rounds of the training run.
-LESSONS = 700
-TREES, DEPTH, RATE, BINS = 60, 4, 0.2, 32
+LESSONS = 500
+TREES, DEPTH, RATE, BINS = 50, 4, 0.25, 24
 
 # Elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -71,6 +70,9 @@ class Dom(HTMLParser):
         self.open: list[tuple[str, int]] = [("html", 0)]
         self.hidden = self.linked = 0
 
+    def updatepos(self, i, j):
+        return j  # line numbers are not used
+
     @property
     def at(self) -> Node:
         return self.nodes[self.open[-1][1]]
@@ -182,46 +184,55 @@ _BAD, _GOOD = frozenset(BAD), frozenset(GOOD)
 _BAD_TAGS, _GOOD_TAGS = frozenset(("nav", "header", "footer", "aside", "form", "menu", "dialog")), frozenset(("article", "main"))
 
 
+#: Sums over a node that are also taken over its subtree, in this order.
+_SUMS = "own link words punct tags paras inputs lists bad good".split()
+
+
 def node_features(nodes: list[Node]) -> np.ndarray:
-    n = len(nodes)
-    own, link, words, punct = (np.zeros(n) for _ in range(4))
-    size, tags, paras, inputs, lists = np.ones(n), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
-    bad, good, bad_up, good_up = (np.zeros(n) for _ in range(4))
+    n, up = len(nodes), [max(x.parent, 0) for x in nodes]
+    each, above, kids, same = [], [[0, 0]], [], []
     for i, x in enumerate(nodes):
-        texts = [s for s in x.flow if isinstance(s, str)]
+        texts = [s for s in x.flow if s.__class__ is str]
         text = _SPACE.sub(" ", "".join(texts)).strip() if texts else ""
-        own[i], link[i] = len(text), x.links
-        words[i] = text.count(" ") + bool(text)
-        punct[i] = text.count(".") + text.count(",") + text.count("!") + text.count("?")
-        tags[i], paras[i], inputs[i], lists[i] = 1, x.tag == "p", x.inputs, x.tag == "li"
-        t = {_ROLE.get(w, w) for w in tokens(x.attrs)}
-        bad[i] = len(t & _BAD) + (x.tag in _BAD_TAGS)
-        good[i] = len(t & _GOOD) + (x.tag in _GOOD_TAGS)
+        bad, good = x.tag in _BAD_TAGS, x.tag in _GOOD_TAGS
+        if x.attrs:
+            t = {_ROLE.get(w, w) for w in tokens(x.attrs)}
+            bad, good = bad + len(t & _BAD), good + len(t & _GOOD)
+        each.append([len(text), x.links, text.count(" ") + bool(text),
+                     text.count(".") + text.count(",") + text.count("!") + text.count("?"),
+                     1, x.tag == "p", x.inputs, x.tag == "li", int(bad), int(good)])
         if i:
-            bad_up[i] = bad_up[x.parent] + bad[x.parent]
-            good_up[i] = good_up[x.parent] + good[x.parent]
-    whole = [own.copy(), link.copy(), words.copy(), punct.copy(), tags, paras, inputs, lists, size]
-    bad_down, good_down = bad.copy(), good.copy()
+            a, e = above[up[i]], each[up[i]]
+            above.append([a[0] + e[8], a[1] + e[9]])
+        kids.append(len(nodes[up[i]].children) if i else 1)
+    for x in nodes:
+        tags = [nodes[k].tag for k in x.children]
+        x_same = {t: tags.count(t) for t in set(tags)}
+        for k, t in zip(x.children, tags, strict=True):
+            same.append((k, x_same[t]))
+    whole = [list(e) for e in each]
     for i in range(n - 1, 0, -1):  # children come after their parents
-        for w in (*whole, bad_down, good_down):
-            w[nodes[i].parent] += w[i]
-    s_own, s_link, s_words, s_punct, s_tags, s_paras, s_inputs, s_lists, _ = whole
+        to, e = whole[up[i]], whole[i]
+        for k in range(len(_SUMS)):
+            to[k] += e[k]
+    o, w, ab = (np.array(v, float) for v in (each, whole, above))
+    s = {k: w[:, i] for i, k in enumerate(_SUMS)}
+    own, bad, good, total = o[:, 0], o[:, 8], o[:, 9], w[0, 0]
+    alike = np.ones(n)
+    if same:
+        alike[[k for k, _ in same]] = [c for _, c in same]
     rows = np.zeros((n, 28 + len(TAGS)))
-    before = 0.0
+    rows[:, :28] = np.stack([
+        [x.depth for x in nodes], kids, alike, [len(x.children) for x in nodes], np.log1p(own), np.log1p(s["own"]),
+        s["link"] / (s["own"] + 1), s["words"] / s["tags"], s["punct"] / (s["words"] + 1), s["own"] / (s["words"] + 1),
+        np.log1p(s["paras"]), s["inputs"], np.log1p(s["lists"]), s["own"] / (s["own"][up] + 1), s["own"] / (total + 1),
+        (np.cumsum(own) - own) / (total + 1), np.minimum(bad, 3), np.minimum(good, 3), np.minimum(ab[:, 0], 3), np.minimum(ab[:, 1], 3),
+        s["bad"] / s["tags"], s["good"] / s["tags"], s["link"][up] / (s["own"][up] + 1), s["lists"] / s["tags"], s["paras"] / s["tags"],
+        own / (s["own"] + 1), np.minimum(s["good"] - good, 3), np.full(n, np.log1p(total))], 1)
     for i, x in enumerate(nodes):
-        up = x.parent if i else 0
-        kids = nodes[up].children if i else [0]
-        same = sum(nodes[k].tag == x.tag for k in kids) if len(kids) <= 64 else len(kids)
-        rows[i, :28] = (
-            x.depth, len(kids), same, len(x.children), math.log1p(own[i]), math.log1p(s_own[i]), s_link[i] / (s_own[i] + 1),
-            s_words[i] / s_tags[i], s_punct[i] / (s_words[i] + 1), s_own[i] / (s_words[i] + 1), math.log1p(s_paras[i]), s_inputs[i],
-            math.log1p(s_lists[i]), s_own[i] / (s_own[up] + 1), s_own[i] / (s_own[0] + 1), before / (s_own[0] + 1),
-            min(bad[i], 3), min(good[i], 3), min(bad_up[i], 3), min(good_up[i], 3), bad_down[i] / s_tags[i], good_down[i] / s_tags[i],
-            s_link[up] / (s_own[up] + 1), s_lists[i] / s_tags[i], s_paras[i] / s_tags[i], own[i] / (s_own[i] + 1),
-            min(good_down[i] - good[i], 3), math.log1p(s_own[0]))
-        if x.tag in _TAG:
-            rows[i, 28 + _TAG[x.tag]] = 1
-        before += own[i]
+        t = _TAG.get(x.tag)
+        if t is not None:
+            rows[i, 28 + t] = 1
     return rows
 
 
