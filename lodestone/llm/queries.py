@@ -1,6 +1,6 @@
 """The registered queries of the subpackage, and their SQL where SQL can express them."""
 
-from . import html, mixing, nearest, packing, pii, quality, secrets, topk
+from . import html, mixing, nearest, ngram_join, packing, pii, quality, secrets, topk
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_source_mixing(spark, sf):
     return mixing.rates(docs, labelled, mixing.TARGETS).drop("mark", "row")
 
 
+def op4_ngram_jaccard(spark, sf):
+    return ngram_join.join(table(spark, sf, "documents"))
+
+
 def op5_secret_scan(spark, sf):
     return secrets.digest(secrets.scan(table(spark, sf, "documents")))
 
