@@ -1,0 +1,61 @@
+"""A training corpus from the documents: reject, deduplicate, redact, mix and pack.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as
+the next stage's docs. All but the last return the columns of documents.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import mixing, ngram_join, packing, pii, quality
+from lodestone.llm.common import keep, table
+from lodestone.llm.queries import vocabulary
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go. The classifier's rows are matched by doc_id; of a repeated doc_id all rows must pass."""
+    found = quality.classify(docs, table(spark, sf_dir, "labels"))
+    gone = keep(found.filter(~F.col("keep")).select("doc_id").distinct(), "rejected")
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return ngram_join.first_of_groups(docs).select(*COLUMNS)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked."""
+    return pii.redact(docs).select(*COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out at rates that bring the language domains to their target weights."""
+    labelled = mixing.labelled_documents(docs, table(spark, sf_dir, "labels"))
+    return mixing.mixed(docs, labelled, mixing.TARGETS).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of what is left."""
+    return packing.pack(docs, vocabulary())
+
+
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("ngram_jaccard_join", ngram_stage),
+    ("pii", pii_stage),
+    ("mixing", mixing_stage),
+    ("best_fit_packing", packing_stage),
+]
+
+#: SQL has no iterative fits and no tokenizer: tests/llm/test_pipeline.py has a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = keep(stage(spark, docs, sf_dir), name)
+    return docs

@@ -2,10 +2,11 @@
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import keep
 
-__all__ = ["keep", "mix64", "partitions", "pieces_of", "semi", "table"]
+__all__ = ["filtered_join", "keep", "mix64", "partitions", "pieces_of", "semi", "table"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -42,9 +43,9 @@ def pieces_of(batches, size, most_bytes: int = 8 << 20, most_rows: int = 4096):
         yield pdf.iloc[start:]
 
 
-def semi(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows whose key columns are among `keys`, which Spark turns into a Bloom filter of bounded
-    size first, so that rows without a key are not shuffled. Without the filter the result is the same.
+def filtered_join(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join that Spark precedes by a Bloom filter of bounded size on the key, so that most rows
+    without a partner are not shuffled. Without the filter the result is the same.
     """
     conf = rows.sparkSession.conf
     conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
@@ -53,4 +54,10 @@ def semi(rows: DataFrame, keys: DataFrame) -> DataFrame:
     # Bits for this many keys, at most.
     conf.set("spark.sql.optimizer.runtime.bloomFilter.maxNumItems", "8000000")
     conf.set("spark.sql.optimizer.runtime.bloomFilter.maxNumBits", str(1 << 26))
-    return rows.join(keys.dropDuplicates(), keys.columns, "left_semi")
+    # Always true: Spark makes the filter only for keys that are themselves filtered.
+    return rows.join(keys.filter(F.xxhash64(*on) >= F.lit(-2 ** 63)), on, how)
+
+
+def semi(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key columns are among `keys`."""
+    return filtered_join(rows, keys, keys.columns, "left_semi")

@@ -181,7 +181,7 @@ def _likely(pdf: pd.DataFrame) -> pd.DataFrame:
     head = next(h for h in pdf["head"] if h is not None)
     rows = [x.split(" ") for x in head.split("\n") if x]
     out = [s for s, n, local, i in rows if int(n) and 100 * (int(local) + int(total[int(i)])) >= PERCENT * int(n)]
-    return pd.DataFrame({"set_id": out})
+    return pd.DataFrame({"set_id": pd.Series(out, dtype=object)})
 
 
 def likely_sets(docs: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ def _least(n):
 
 def ordered_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(sid, n, first, shared): shared shingles of each set, rare first, and how many may be its first match."""
-    rows = semi(docs, reps.select("doc_id").distinct()).select("text").mapInPandas(_members, "set_id string, n int, h array<long>")
+    rows = semi(docs, reps.select("doc_id")).select("text").mapInPandas(_members, "set_id string, n int, h array<long>")
     rows = rows.join(reps.select("set_id", "sid"), "set_id").dropDuplicates(["sid"]).select("sid", "n", "h")
     rows = keep(rows, "members")
     flat = rows.select("sid", F.explode("h").alias("tok"))

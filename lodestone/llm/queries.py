@@ -1,6 +1,6 @@
 """The registered queries of the subpackage, and their SQL where SQL can express them."""
 
-from . import html, mixing, nearest, ngram_join, packing, pii, quality, secrets, topk
+from . import html, mixing, nearest, ngram_join, packing, pii, quality, secrets, suffix_dedup, topk
 from .common import table
 
 
@@ -10,6 +10,10 @@ def vocabulary() -> tuple[str, str, str]:
     return p.path("byte_bpe_50k.json"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN
 
 
+def op1_suffix_dedup(spark, sf):
+    return suffix_dedup.dedup(table(spark, sf, "documents"))
+
+
 def op2_personal_data(spark, sf):
     return pii.digest(pii.spans(pii.extract(table(spark, sf, "documents"))))
 
@@ -62,7 +66,9 @@ _TOPK_SQL = """
 
 def queries():
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
-    return {f.__name__: f for f in found}
+    import corpus_pipeline  # it imports this module
+
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
