@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import keep
 
-__all__ = ["filtered_join", "keep", "mix64", "partitions", "pieces_of", "semi", "table"]
+__all__ = ["filtered_join", "keep", "mix64", "partitions", "pieces_of", "semi", "small_batches", "table"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -61,3 +61,9 @@ def filtered_join(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "i
 def semi(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows whose key columns are among `keys`."""
     return filtered_join(rows, keys, keys.columns, "left_semi")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole documents go to Python workers; a batch of the default number of rows can fill their memory."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, pieces_of, semi
+from .common import keep, pieces_of, semi, small_batches
 
 #: Hashed features, domains at most, and how many n-grams' worth of evidence a document counts for.
 FEATURES = 1 << 14
@@ -168,6 +168,7 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] | N
     labelled: (domain, text). targets: weight by domain; domains without one share the rest by prior.
     copies is the rate rounded up or down by a hash of the row's key, so that its expectation is the rate.
     """
+    small_batches(docs.sparkSession)
     model = train(labelled)
     if model is None:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.monotonically_increasing_id().alias("row"),

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, mix64, partitions, pieces_of, semi
+from .common import keep, mix64, partitions, pieces_of, semi, small_batches
 
 WORDS = 5
 PERCENT = 80
@@ -38,7 +38,7 @@ _SHORT = np.uint64(0xD6E8FEB86659FD93)
 class Shingler:
     """Shingle hashes of texts; words that were seen are remembered, up to a bound."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         self.known: dict[bytes, int] = {}
         self.most = most
 
@@ -122,7 +122,7 @@ def _packer(shards: int):
         from pyspark import TaskContext
 
         part, made, press, shingler = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1), Shingler()
-        for pdf in pieces_of(batches, _size, 4 << 20):
+        for pdf in pieces_of(batches, _size, 3 << 20):
             doc, h, n = shingler.sets(pdf["text"])
             names = set_ids(doc, h, len(pdf))
             first = {}
@@ -286,11 +286,17 @@ def grouped_sets(sets: DataFrame) -> DataFrame:
     spark = sets.sparkSession
     post = sets.select("sid", "n", "own", F.posexplode(F.slice("toks", F.lit(1), F.col("first"))).alias("pos", "tok"))
     post = keep(post.withColumn("pos", F.col("pos") + F.col("own")).drop("own"), "postings")
+    # Lists with the same sets stand for each other; the first in the global order bounds overlaps best.
+    lists = post.groupBy("tok").agg(
+        F.count("*").alias("m"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y"),
+        F.min("sid").alias("lo"), F.min_by("pos", "sid").alias("at")).filter("m > 1")
+    lists = lists.groupBy("m", "x", "y", "lo").agg(F.min_by("tok", "at").alias("tok"))
+    post = keep(post.join(lists.select("tok"), "tok", "left_semi"), "lists")
     found = tried = spark.createDataFrame([], "a long, b long")
     labels = sets.select("sid", F.col("sid").alias("comp"))
     one = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for r in range(ROUNDS + 1):
-        at = post.join(labels, "sid")
+        at = keep(post.join(labels, "sid"), "labelled")
         open_ = at.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(
             F.struct("sid", "comp", "n", "pos"), F.xxhash64("sid", F.lit(r))).alias("rep")).filter("lo < hi")
         need = lambda na, nb: F.ceil((na + nb) * PERCENT / (100.0 + PERCENT) - 1e-9)
@@ -316,6 +322,7 @@ def grouped_sets(sets: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each document row."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     profile = keep(docs.mapInPandas(_profile, "doc_id long, set_id string, n long"), "profile")
     known = docs.filter(F.col("doc_id").isNotNull())

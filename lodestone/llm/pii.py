@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, pieces_of
+from .common import keep, pieces_of, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -115,6 +115,7 @@ def _extract(batches):
 
 def extract(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, row, base, mentions), without texts; mark tells texts of one doc_id apart."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", mark(), F.monotonically_increasing_id().alias("row"))
     return keep(rows.mapInPandas(_extract, _FOUND), "mentions")
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, partitions, pieces_of, semi
+from .common import keep, partitions, pieces_of, semi, small_batches
 
 ORDER = 4
 BITS = 10
@@ -191,6 +191,7 @@ def logs(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, adjusted, threshold, keep for each document row."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     good = labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col("doc_id").cast("long").alias("doc_id"))
     if good.isEmpty():
