@@ -208,6 +208,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] | N
     """The documents, each as often as its copies."""
     found = rates(docs, labelled, targets).select(F.col("doc_id").alias("key"), F.col("mark").alias("key_mark"), "copies")
     found = found.dropDuplicates(["key", "key_mark"])
-    rows = docs.withColumn("mark", F.xxhash64("text"))
-    rows = rows.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("key")) & (F.col("mark") == F.col("key_mark")))
-    return rows.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    # The document is one struct, so that its columns cannot clash with the keys.
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"))
+    rows = rows.join(found, F.col("id").eqNullSafe(F.col("key")) & (F.col("mark") == F.col("key_mark"))).filter("copies > 0")
+    return rows.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

@@ -6,9 +6,9 @@
    partner is out, without its shingles being listed as rows.
 3. The sets that stay are ordered globally, rare shingles first. Two sets that link share one of
    their first n - ceil(0.8 n) + 1 shingles.
-4. Of each such posting list the sets are compared with one of them, twice with another one; then,
-   where a list still holds several groups, with all sets of other groups that length and position
-   allow. Members of one group need no comparison for the groups to be right, so large groups of
+4. A set is compared with one set of the longest of its posting lists, twice with another one, then
+   with one set of each of its lists; then, where a list still holds several groups, with all sets of
+   other groups that length and position allow. Members of one group need no comparison for the groups to be right, so large groups of
    near copies cost as many comparisons as they have members.
 5. Comparisons are prefix-tree traversals: the partners of a set are stored by common shingles
    first; along a shared path the overlap is counted once, and a path is left when the overlap so
@@ -28,8 +28,8 @@ from .common import keep, mix64, partitions, pieces_of, semi, small_batches
 
 WORDS = 5
 PERCENT = 80
-#: Comparisons of every posting list with one of its sets.
-ROUNDS = 2
+#: Rounds in which a set is compared with one set of its longest list, and with one set of each list.
+NARROW, WIDE = 2, 1
 
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _SHORT = np.uint64(0xD6E8FEB86659FD93)
@@ -295,15 +295,20 @@ def grouped_sets(sets: DataFrame) -> DataFrame:
     found = tried = spark.createDataFrame([], "a long, b long")
     labels = sets.select("sid", F.col("sid").alias("comp"))
     one = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    for r in range(ROUNDS + 1):
+    for r in range(NARROW + WIDE + 1):
         at = keep(post.join(labels, "sid"), "labelled")
-        open_ = at.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(
+        open_ = at.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.min_by(
             F.struct("sid", "comp", "n", "pos"), F.xxhash64("sid", F.lit(r))).alias("rep")).filter("lo < hi")
+        open_ = keep(open_, "open")
+        if open_.isEmpty():
+            break
         need = lambda na, nb: F.ceil((na + nb) * PERCENT / (100.0 + PERCENT) - 1e-9)
-        if r < ROUNDS:
+        if r < NARROW + WIDE:
             pairs = at.join(open_, "tok").filter((F.col("comp") != F.col("rep.comp")) & _fits(F.col("n"), F.col("rep.n")))
             # The first shingle that two sets share leaves room for the whole overlap.
             pairs = pairs.filter(F.least(F.col("n") - F.col("pos"), F.col("rep.n") - F.col("rep.pos")) >= need(F.col("n"), F.col("rep.n")))
+            if r < NARROW:
+                pairs = pairs.groupBy("sid").agg(F.max_by("rep", F.struct("m", "tok")).alias("rep"))
             pairs = pairs.select(F.col("rep.sid").alias("a"), F.col("sid").alias("b"))
         else:
             left = at.join(open_.select("tok"), "tok")
@@ -313,7 +318,7 @@ def grouped_sets(sets: DataFrame) -> DataFrame:
             pairs = pairs.select(F.col("sid").alias("a"), F.col("sb").alias("b"))
         pairs = keep(one(pairs).join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
-            break
+            continue
         found = found.union(keep(links(pairs, sets), "links"))
         tried = tried.union(pairs)
         labels = components(sets, found)
@@ -344,6 +349,10 @@ def join(docs: DataFrame) -> DataFrame:
 def first_of_groups(docs: DataFrame) -> DataFrame:
     """The documents, one of each group: the one with the smallest doc_id."""
     gone = join(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    rows = docs.withColumn("key", F.col("doc_id").cast("long"))
-    rest = rows.join(gone.withColumnRenamed("doc_id", "key"), "key", "left_anti").drop("key")
-    return rest
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"))
+    rest = rows.join(gone.withColumnRenamed("doc_id", "id"), "id", "left_anti")
+    # Rows that repeat a doc_id with the same text are one document.
+    again = rows.filter(F.col("id").isNotNull()).groupBy("id", "mark").agg(F.count("*").alias("m")).filter("m > 1")
+    if again.isEmpty():
+        return rest.select("doc.*")
+    return rest.filter(F.col("id").isNull()).unionByName(rest.filter(F.col("id").isNotNull()).dropDuplicates(["id", "mark"])).select("doc.*")

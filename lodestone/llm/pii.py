@@ -185,18 +185,21 @@ def redact(docs: DataFrame) -> DataFrame:
     """The documents with masked texts, their lengths set anew."""
     found = spans(extract(docs)).filter((F.size("base") > 0) | (F.size("more") > 0))
     found = found.select(F.col("doc_id").alias("key"), F.col("mark").alias("key_mark"), "base", "more").dropDuplicates(["key", "key_mark"])
-    rows = docs.withColumn("mark", mark())
-    rows = rows.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("key")) & (F.col("mark") == F.col("key_mark")), "left")
+    # The document is one struct, so that its columns cannot clash with the keys.
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), mark())
+    rows = rows.join(found, F.col("id").eqNullSafe(F.col("key")) & F.col("mark").eqNullSafe(F.col("key_mark")), "left")
 
     @F.pandas_udf("string")
     def mask(text: pd.Series, base: pd.Series, more: pd.Series) -> pd.Series:
         return pd.Series([t if b is None else masked(t, b, m) for t, b, m in zip(text, base, more, strict=True)], dtype=object)
 
-    text = F.when(F.col("base").isNotNull(), mask("text", "base", "more")).otherwise(F.col("text"))
-    out = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("base").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    doc = F.col("doc")
+    new = rows.select("doc", F.when(F.col("base").isNotNull(), mask(doc["text"], "base", "more")).alias("new"))
+    columns = {c: doc[c] for c in docs.columns}
+    columns["text"] = F.coalesce("new", doc["text"])
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("new").isNotNull(), F.length("new").cast("long")).otherwise(doc["n_chars"])
+    return new.select(*[v.alias(k) for k, v in columns.items()])
 
 
 def sha(spans_) -> str:

@@ -1,11 +1,11 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model has character n-grams of order 4, counted over all trusted documents (labelled good and
+The model has character n-grams of order 4, counted over the trusted documents (labelled good and
 not toxic). Count tables are joined order by order to a probability for every n-gram type of the
 corpus. For scoring, a task packs the n-gram counts of a batch of documents by shard of the n-gram;
 each packed part meets its shard of the probabilities, and the partial sums of a batch are added.
 A document is rejected if its smoothed perplexity is above its language's quantile over trusted
-documents times a margin.
+documents that were held out of training, times a margin.
 
 Defined results: null or empty text is scored as an empty document and kept; a null language is
 its own language; a language with few trusted documents takes the threshold over all; repeated rows
@@ -26,8 +26,10 @@ ORDER = 4
 BITS = 10
 #: Shards of the model; a document batch sends one packed row to each.
 SHARDS = 16
-#: A language's threshold: this quantile of its trusted documents' perplexity, times the margin.
-QUANTILE, MARGIN, LEAST = 0.99, 1.1, 30
+#: A language's threshold: this quantile of its held-out trusted documents' perplexity, times the margin.
+QUANTILE, MARGIN, LEAST = 0.99, 1.1, 10
+#: One in so many trusted documents sets thresholds instead of training.
+HELD = 6
 #: Symbols at the language's average that are added to each document, so that short ones are not rejected by chance.
 PRIOR = 150
 
@@ -198,8 +200,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
         return docs.select(
             "doc_id", "lang", (F.length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("n_symbols"),
             *[F.lit(None).cast("double").alias(c) for c in ("perplexity", "adjusted", "threshold")], F.lit(True).alias("keep"))
-    scored = keep(logs(docs, semi(docs, good)), "scored")
-    known = scored.join(good.distinct(), "doc_id", "left_semi")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0
+    scored = keep(logs(docs, semi(docs, good.filter(~held))), "scored")
+    known = scored.join(good.filter(held).distinct(), "doc_id", "left_semi")
     means = known.groupBy("lang").agg((F.sum("lp") / F.sum("n_symbols")).alias("mean"), F.count("*").alias("n"))
     every = known.agg((F.sum("lp") / F.sum("n_symbols")).alias("mean_all"))
     means = means.crossJoin(F.broadcast(every))  # one row
