@@ -51,7 +51,7 @@ class Corpus:
     @classmethod
     def build(cls, nodes: DataFrame) -> "Corpus":
         terms = nodes.select(
-            *IDENTITY, X.tokens(S.node_text(F.col("doc"), F.col("body"))).alias("terms")
+            "node_seq", *IDENTITY, X.tokens(S.node_text(F.col("doc"), F.col("body"))).alias("terms")
         )
         return cls(terms.withColumn("length", X.fused_length(F.col("terms"))))
 

@@ -37,14 +37,14 @@ def matches(corpus: Corpus, query: str) -> tuple[DataFrame, int, list[str]]:
     """
     query = query.strip()
     plain, both = X.query_terms(corpus.docs.sparkSession, query)
-    carried = ("node_key", "module_dir", "address", "identity", "authority", "length")
+    carried = ("node_key", "node_seq", "module_dir", "address", "identity", "authority", "length")
 
     def occurring(terms):
         return F.filter(terms, lambda t: t.isin(*both) if both else F.lit(False))
 
     freqs = [f"f{i}" for i in range(len(both))]
     rows = corpus.docs.select(
-        "node_key", "module_dir", "address", "terms", "length",
+        "node_key", "node_seq", "module_dir", "address", "terms", "length",
         (S.score_exact(query) + S.ADDRESS_PARTIAL_WEIGHT * S.identity_coverage(both)).alias("identity"),
         S.authority(F.col("kind"), F.col("file"), F.col("deprecated")).alias("authority"),
     ).select(
@@ -71,7 +71,7 @@ def score_matches(rows: DataFrame, plain: int, freqs: list[str]) -> DataFrame:
         plain, F.col("length"), stats["n"], stats["average"],
     )
     return rows.select(
-        "node_key", "module_dir", "address",
+        "node_key", "node_seq", "module_dir", "address",
         ((F.col("identity") + S.BODY_WEIGHT * body) * F.col("authority")).alias("score"),
     )
 
@@ -117,7 +117,7 @@ def explore(
     shown = min(max_nodes, affordable) if affordable >= 1 else max_nodes
 
     # Rounded before ordering, so that equal texts tie whatever the order of a sum was.
-    order = [F.round("score", 9).desc(), "module_dir", "address", "node_key"]
+    order = [F.round("score", 9).desc(), "module_dir", "address", "node_key", "node_seq"]
     if query.strip():
         rows, plain, freqs = matches(corpus or Corpus.build(nodes), query)
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
@@ -125,7 +125,7 @@ def explore(
             scores = score_matches(rows, plain, freqs)
             above = F.col("score") >= S.MIN_RELEVANCE_SCORE
             considered, n_above = scores.agg(F.count("*"), F.count_if(above)).first()
-            top = scores.filter(above).orderBy(*order).limit(shown).select("node_key", "score").collect()
+            top = scores.filter(above).orderBy(*order).limit(shown).select("node_key", "node_seq", "score").collect()
         finally:
             rows.unpersist()
     else:
@@ -136,8 +136,9 @@ def explore(
     )
     share = max(S.MIN_PER_NODE_BUDGET, char_budget // max(len(top), 1))
 
-    winners = spark.createDataFrame(top, "node_key string, score double")
-    hits = nodes.join(F.broadcast(winners), "node_key").withColumn(
+    winners = spark.createDataFrame(top, "node_key string, node_seq string, score double")
+    # Files of one directory can declare an address twice; each declaration is a node of its own.
+    hits = nodes.join(F.broadcast(winners), ["node_key", "node_seq"]).withColumn(
         "excerpt", S.excerpt(F.col("body"), F.lit(share))
     )
     if edges is not None:

@@ -90,10 +90,10 @@ class Overlay:
     @cached_property
     def partial(self) -> list[str]:
         """Why overlay files could not be read, in reading order."""
-        return [row["reason"] for row in self.failures.orderBy("pos").collect()]
+        return [row["reason"] for row in self.failures.orderBy("pos", *[c for c in ("stack", "source") if c in self.failures.columns]).collect()]
 
     def is_available(self) -> bool:
-        return bool(self.sources)
+        return not self.overlays.isEmpty()
 
     def unavailable_reason(self) -> str:
         if self.sources and self.partial:

@@ -141,8 +141,8 @@ def read_text(files: DataFrame, root: str, path: str = "file") -> DataFrame:
                 try:
                     with fs.open_input_stream(where) as stream:
                         text, error = stream.read().decode("utf-8", "replace"), None
-                except OSError as e:
-                    text, error = None, f"{row[path]}: {e.strerror or e}"
+                except Exception as e:  # Arrow has errors of its own; each is this file's
+                    text, error = None, f"{row[path]}: {getattr(e, 'strerror', None) or e}"
                 yield pa.RecordBatch.from_pylist([{**row, "content": text, "error": error}], schema=schema)
 
     # Files are read where their paths hash to, not where a listing task left them.
