@@ -100,12 +100,10 @@ def _corpus(spark, sf):
     return corpus.Corpus.build(T.document_nodes(spark, sf))
 
 
-def idf_top(spark, sf):
-    """The 100 most frequent terms with their rarity: a report, so the limit is the feature."""
-    return (
-        _corpus(spark, sf).inverse_document_frequency().orderBy(F.desc("df"), "term").limit(100)
-        .select("term", F.col("df").cast("long").alias("df"), F.round("idf", 4).alias("idf"), "informative")
-    )
+def idf_terms(spark, sf):
+    """Every term with its rarity."""
+    return _corpus(spark, sf).inverse_document_frequency().select(
+        "term", F.col("df").cast("long").alias("df"), F.round("idf", 4).alias("idf"), "informative")
 
 
 def rarity_weights(spark, sf):
@@ -418,7 +416,7 @@ def counts_sorted(spark, sf):
 
 
 _QUERIES = [
-    tokenize_counts, stem_pairs, vectorized, fused_postings, term_df, corpus_stats, idf_top, rarity_weights,
+    tokenize_counts, stem_pairs, vectorized, fused_postings, term_df, corpus_stats, idf_terms, rarity_weights,
     turn_similarity, explore_documents, explore_counters, document_scores, explore_parts, part_scores, authority,
     excerpt, node_counts, edge_counts, graph_totals, unresolved_refs, refs_by_address, refs_by_name, refs_by_type,
     declarations, impact_dependents, impact_dependencies, impact_summary, module_usage, module_versions,

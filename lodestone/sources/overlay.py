@@ -38,6 +38,7 @@ class AmbiguousStackError(ValueError):
     """A bare overlay path in a repository with several roots (or none)."""
 
     def __init__(self, spec: str, roots: list):
+        # The wording is part of the interface.
         super().__init__(
             f"cannot tell which root module '{spec}' belongs to; this repository has "
             f"{len(roots)} roots ({', '.join(roots)}). Use --plan <root>=<path>."

@@ -1,13 +1,11 @@
 """DuckDB statements that compute the registered queries from the same tables."""
 
+from lodestone.functions.text import STOP_WORDS
+
 QUERY = "Which texts are released under the MIT License?"
 PART_QUERY = "red widget promo"
 
-# The stop words, as the checks need them.
-_STOP = """the and for with this that from are was were has have had not but you your its all can will into
-when how why who where which what does did get getting got make made need want show tell give let use using
-used any some there here then than them they our set sets add adds""".split()
-_STOP_LIST = "[" + ", ".join(f"'{w}'" for w in _STOP) + "]"
+_STOP_LIST = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 
 
 def _stem(t):
@@ -270,12 +268,12 @@ def all_sql() -> dict[str, str]:
         "corpus_stats": f"""WITH t AS (SELECT {_toks('text')} AS terms FROM documents)
             SELECT count(*)::BIGINT AS n_docs, round(sum(l), 1)::DOUBLE AS total_length,
             round(greatest(1, sum(l) / count(*)), 4)::DOUBLE AS avg_length FROM (SELECT ({_FUSED_LEN})::DOUBLE AS l FROM t)""",
-        "idf_top": f"""WITH t AS (SELECT doc_id, {_toks('text')} AS terms FROM documents),
+        "idf_terms": f"""WITH t AS (SELECT doc_id, {_toks('text')} AS terms FROM documents),
             d AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(terms) AS term
             FROM t UNION ALL SELECT doc_id, unnest({_pairs('terms')}) FROM t)) GROUP BY term),
             n AS (SELECT count(*) AS n FROM documents)
             SELECT term, df::BIGINT AS df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 4)::DOUBLE AS idf,
-            n < 8 OR df <= n * 0.5 AS informative FROM d, n ORDER BY df DESC, term LIMIT 100""",
+            n < 8 OR df <= n * 0.5 AS informative FROM d, n""",
         "rarity_weights": f"""WITH t AS (SELECT doc_id, {_toks('text')} AS terms FROM documents),
             b AS (SELECT {_toks('text')} AS terms FROM benchmark),
             v AS (SELECT term, sum(w) AS w FROM (SELECT unnest(terms) AS term, 1.0 AS w FROM b

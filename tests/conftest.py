@@ -20,169 +20,108 @@ def spark():
     s.stop()
 
 
-# A small shipping company: one shared module, two applied stacks and an example.
-HARBOR = {
-    "modules/queue/main.tf": '''
-# Message queue with a dead letter policy.
-# Shared by all stacks.
-resource "mq_topic" "main" {
-  name   = "${var.prefix}-${var.topic}"
-  labels = local.labels
-}
-
-resource "mq_policy" "main" {
-  topic = mq_topic.main.id
-
-  dynamic "retry" {
-    for_each = var.retries
-    content {
-      delay = retry.value.delay
-      note  = "mq_topic.main.id"
-    }
-  }
-}
-
-locals {
-  labels = merge(var.labels, { Topic = var.topic })
-}
-''',
-    "modules/queue/inputs.tf": '''
-variable "prefix" { type = string }
-variable "topic" {
-  type = string
-}
-variable "labels" {
-  type    = map(string)
-  default = {}
-}
-variable "retries" {
-  type    = list(object({ delay = number }))
-  default = []
-}
-
-# Nobody reads this any more.
-variable "legacy_mode" {
-  type    = bool
-  default = false
-}
-''',
-    "modules/queue/outputs.tf": '''
-output "topic_id" {
-  value = mq_topic.main.id
-}
-output "policy_id" {
-  value = mq_policy.main.id
-}
+# Telescopes: a motor inside a dome inside two roots, each property in the shape that a test names.
+OBSERVATORY = {
+    "lib/motor/motor.tf": '''
+variable "speed" { type = number }
+variable "label" {}
+resource "gear_train" "axle" {
+  rpm  = var.speed * 60
+  tags = [for word in ["geared", var.label] : upper(word)]
+}
+output "axle" { value = gear_train.axle.id }
 ''',
-    "stacks/live/main.tf": '''
-terraform {
-  required_version = ">= 1.6"
-  backend "gcs" {
-    bucket = "harbor-state"
+    "lib/dome/dome.tf": '''
+variable "place" {}
+variable "coats" { default = [] }
+variable "spare" { default = 1 }
+
+module "shutter" {
+  source = "../motor"
+  speed  = 2
+  label  = "shutter-${var.place}"
+}
+
+//\tThe big glass,
+//\tground by hand.
+resource "optic_mirror" "primary" {
+  mount      = module.shutter.axle
+  depends_on = [module.shutter]
+  dynamic "coat" {
+    for_each = var.coats
+    iterator = layer
+    content { metal = layer.value }
+  }
+  dynamic "bolt" {
+    for_each = var.coats
+    content { id = bolt.key }
   }
 }
 
-provider "cloud" {
-  zone = var.zone
-}
-
-provider "cloud" {
-  alias = "backup"
-}
-
-# cargo_store.manifests holds the shipping papers; customs asks for them.
-# cargo_store.manifests is only mentioned here, not referenced.
-resource "cargo_store" "manifests" {
-  name   = "harbor-live-manifests"
-  labels = local.common
-}
-
-resource "cargo_access" "manifests" {
-  store = cargo_store.manifests.id
-  rule  = jsonencode({ Resource = "urn:cargo_store.manifests/*" })
-}
-
-resource "cargo_store" "mirror" {
-  provider = cloud.backup
-  name     = "mirror-${data.cloud_account.me.number}"
-}
-
-data "cloud_account" "me" {}
-
-module "arrivals" {
-  source = "../../modules/queue"
-  prefix = var.zone
-  topic  = "arrivals"
-  labels = local.common
-}
-
-module "departures" {
-  source  = "../../modules/queue"
-  prefix  = var.zone
-  topic   = "departures"
-  retries = [{ delay = 5 }]
-}
-
+output "mirror" { value = optic_mirror.primary.id }
+output "drive" { value = module.shutter.axle }
+''',
+    "north/sky.tf": '''
 locals {
-  common = { Zone = var.zone }
-}
-
-# The store was called papers once.
+  night = { begin = 18, end = 6 }
+}
+module "east" {
+  source = "../lib/dome"
+  place  = "${local.night.begin}h"
+}
+module "pair" {
+  source = "../lib/dome"
+  count  = 2
+  place  = local.night["end"]
+  coats  = ["silver"]
+}
+resource "sky_survey" "wide" {
+  window = local.night
+  note   = <<-EOT
+    Unlike sky_survey.deep this one needs no tracking of quasars.
+  EOT
+}
+/* sky_survey.deep starts after sky_survey.wide. */
+resource "sky_survey" "deep" {
+  parent = sky_survey.wide.id
+  mirror = module.east.mirror
+  files  = sky_plate.glass[0].path
+}
+resource "sky_plate" "glass" { count = 3 }
 moved {
-  from = cargo_store.papers
-  to   = cargo_store.manifests
+  from = sky_plate.glass
+  to   = sky_survey.deep
 }
-''',
-    "stacks/live/_network.tf": '''
-# Underscored files count like any other.
-module "net" {
-  source  = "registry/harbor/net"
-  version = "3.2.0"
-  zone    = var.zone
-}
-''',
-    "stacks/live/outputs.tf": '''
-output "arrivals_topic" {
-  value = module.arrivals.topic_id
+module "almanac" {
+  source  = "stars/almanac"
+  version = "2.0"
 }
-output "manifest_store" {
-  value     = cargo_store.manifests.id
+output "catalogue" {
+  value     = sky_survey.deep.rows
   sensitive = true
 }
 ''',
-    "stacks/live/variables.tf": '''
-variable "zone" {
-  type    = string
-  default = "north"
-}
-''',
-    "stacks/trial/main.tf": '''
-module "arrivals" {
-  source = "../../modules/queue"
-  prefix = var.zone
-  topic  = "arrivals"
-}
-module "net" {
-  source  = "registry/harbor/net"
-  version = "2.9.1"
-}
-resource "cargo_store" "manifests" {
-  name = "harbor-trial-manifests"
-}
-variable "zone" {}
+    "south/_lens.tf": '''
+provider "sky" { alias = "dim" }
+resource "sky_lens" "one" {
+  provider = sky.dim
+  hour     = var.hour
+}
+resource "sky_survey" "deep" {}
+variable "hour" {}
 ''',
-    "examples/basic/main.tf": '''
-# Shows the queue module.
-module "queue" {
-  source = "../../modules/queue"
-  prefix = "demo"
-  topic  = "demo"
+    "south/again.tf": '''
+variable "hour" { description = "declared a second time" }
+module "almanac" {
+  source  = "stars/almanac"
+  version = "1.4"
 }
 ''',
-    ".terraform/modules/copy/main.tf": 'resource "cargo_store" "copy" {}\n',
-    "stacks/live/node_modules/x/main.tf": 'resource "cargo_store" "copy" {}\n',
-    ".ops/main.tf": 'variable "hidden_dir" {}\nresource "x_y" "z" { a = var.hidden_dir }\n',
-    "stacks/trial/extra.tf.json": "{}",
+    "examples/dome/use.tf": 'module "east" { source = "../../lib/dome"\n place = "lawn" }\n',
+    ".night/own.tf": 'variable "dew" {}\nresource "sky_heater" "rim" { when = var.dew }\n',
+    ".terraform/x/y.tf": 'resource "sky_survey" "cached" {}\n',
+    "north/node_modules/y.tf": 'resource "sky_survey" "cached" {}\n',
+    "south/other.tf.json": "{}",
 }
 
 
@@ -195,20 +134,20 @@ def write_tree(root, files):
 
 
 @pytest.fixture(scope="session")
-def harbor_root(tmp_path_factory):
-    return write_tree(tmp_path_factory.mktemp("harbor"), HARBOR)
+def sky_root(tmp_path_factory):
+    return write_tree(tmp_path_factory.mktemp("sky"), OBSERVATORY)
 
 
 @pytest.fixture(scope="session")
-def harbor(spark, harbor_root):
-    return Host(spark, harbor_root).current()
+def sky(spark, sky_root):
+    return Host(spark, sky_root).current()
 
 
 @pytest.fixture(scope="session")
-def nodes(harbor):
-    return {r["node_key"]: r for r in harbor.graph.nodes.collect()}
+def nodes(sky):
+    return {r["node_key"]: r for r in sky.graph.nodes.collect()}
 
 
 @pytest.fixture(scope="session")
-def edges(harbor):
-    return harbor.graph.edges.collect()
+def edges(sky):
+    return sky.graph.edges.collect()

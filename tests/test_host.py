@@ -106,36 +106,36 @@ def test_status_explains_a_bad_overlay_and_a_parse_error(spark, tmp_path):
     assert host.explicit_plan_error() is None
 
 
-def test_reports_state_totals_and_fit(harbor):
-    full = report.for_address_text(harbor, "cargo_store")
-    assert full.startswith('3 declaration(s) of "cargo_store".') and "referenced by (3):" in full
-    assert "  moved.cargo_store.papers" in full and "[MOVED_FROM]  as cargo_store.papers → cargo_store.manifests" in full
-    small = report.for_address_text(harbor, "cargo_store", 500)
+def test_reports_state_totals_and_fit(sky):
+    full = report.for_address_text(sky, "sky_survey")
+    assert full.startswith('3 declaration(s) of "sky_survey".') and "referenced by (2):" in full
+    assert "  moved.sky_plate.glass" in full and "[MOVED_FROM]  as sky_plate.glass → sky_survey.deep" in full
+    small = report.for_address_text(sky, "sky_survey", 500)
     assert "omitted for space" in small and small.startswith("3 declaration(s)")
-    small = report.orphans_text(harbor, 150)
+    small = report.orphans_text(sky, 150)
     assert small.startswith("2 unreferenced declaration(s).") and "[1 orphan(s) omitted for space" in small
-    small = report.modules_text(harbor, "", 300)
-    assert small.startswith("2 module source(s); 1 pinned") and "[1 module source(s) omitted" in small
-    small = report.impact_text(harbor, "var.zone", char_budget=300)
-    assert "omitted for space" in small and "Truncated at depth 3" in small
-    for text in (report.for_address_text(harbor, "cargo_store", 1000), report.impact_text(harbor, "var.zone", char_budget=1000),
-                 report.modules_text(harbor, "", 1000), report.orphans_text(harbor, 1000),
-                 report.explore_text(harbor, "cargo", 5, 1000)):
+    small = report.modules_text(sky, "", 300)
+    assert small.startswith("4 module source(s); 1 pinned") and "[3 module source(s) omitted" in small
+    small = report.impact_text(sky, "local.night", "dependents", 2, 300)
+    assert "omitted for space" in small and "Truncated at depth 2" in small
+    for text in (report.for_address_text(sky, "sky_survey", 1000), report.impact_text(sky, "local.night", char_budget=1000),
+                 report.modules_text(sky, "", 1000), report.orphans_text(sky, 1000),
+                 report.explore_text(sky, "sky", 5, 1000)):
         assert len(text) <= 4000
 
 
-def test_reports_say_when_there_is_nothing(harbor):
-    assert report.explore_text(harbor, "zebra").startswith('No configuration scored above the relevance threshold for "zebra".')
-    assert report.explore_text(harbor, " ").startswith("No configuration scored")
-    assert report.for_address_text(harbor, "no.such").startswith('Nothing in this repository declares "no.such".')
-    assert report.impact_text(harbor, "no.such").startswith('Nothing in this repository declares "no.such", so')
-    assert "Nothing reaches it" in report.impact_text(harbor, "var.legacy_mode")
-    assert report.modules_text(harbor, "nope") == 'No module source or call name matches "nope".'
-    static = report.impact_text(harbor, "var.zone", "dependents", 1)
+def test_reports_say_when_there_is_nothing(sky):
+    assert report.explore_text(sky, "zebra").startswith('No configuration scored above the relevance threshold for "zebra".')
+    assert report.explore_text(sky, " ").startswith("No configuration scored")
+    assert report.for_address_text(sky, "no.such").startswith('Nothing in this repository declares "no.such".')
+    assert report.impact_text(sky, "no.such").startswith('Nothing in this repository declares "no.such", so')
+    assert "Nothing reaches it" in report.impact_text(sky, "var.spare")
+    assert report.modules_text(sky, "nope") == 'No module source or call name matches "nope".'
+    static = report.impact_text(sky, "local.night", "dependents", 1)
     assert "This is what is *connected*" in static
 
 
-def test_command_line(spark, harbor_root, capsys):
+def test_command_line(spark, sky_root, capsys):
     assert cli.main([]) == 2 and "usage:" in capsys.readouterr().err
     assert cli.main(["frobnicate"]) == 2 and 'unknown command "frobnicate"' in capsys.readouterr().err
     assert cli.main(["help"]) == 0 and "usage:" in capsys.readouterr().out
@@ -143,7 +143,7 @@ def test_command_line(spark, harbor_root, capsys):
     assert cli.main(["status", "--repo", "/no/such/dir"]) == 1
     capsys.readouterr()
     # Flags may follow the words.
-    assert cli.main(["impact", "var.zone", "--repo", harbor_root, "--depth", "1", "--plan", "p.json"], spark) == 0
+    assert cli.main(["impact", "local.night", "--repo", sky_root, "--depth", "1", "--plan", "p.json"], spark) == 0
     out = capsys.readouterr()
     assert "(depth 1)" in out.out and "--plan ignored: cannot tell which root module 'p.json'" in out.err
 

@@ -114,6 +114,6 @@ def test_uninformative_terms_carry_no_weight(spark):
     assert weighted == {"gamma": pytest.approx(2 * math.log(1 + 10.5 / 0.5))}
 
 
-def test_unfused_address_reaches_compound_name(harbor):
-    hits = harbor.explore("mqtopic main").hits.collect()
-    assert hits[0]["node_key"] == "modules/queue|mq_topic.main"
+def test_unfused_address_reaches_compound_name(sky):
+    hits = sky.explore("geartrain axle").hits.collect()
+    assert hits[0]["node_key"] == "lib/motor|gear_train.axle"
