@@ -262,19 +262,26 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.sortWithinPartitions("a").select("a", "na", "ta", "b", "nb", "tb").mapInPandas(_overlaps, "a long, b long")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(sid, comp): the smallest sid that links reach, by minimum labels and pointer jumping."""
-    both = keep(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = keep(nodes.select("sid", F.col("sid").alias("comp")), "labels")
+def components(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """The labels (sid, comp), comp the smallest sid reached so far, after the links (a, b) of `new` join groups.
+
+    Only the groups that new links touch are walked: minimum labels and pointer jumping over the groups.
+    """
+    ends = new.join(labels.select(F.col("sid").alias("a"), F.col("comp").alias("ca")), "a")
+    ends = ends.join(labels.select(F.col("sid").alias("b"), F.col("comp").alias("cb")), "b").filter("ca <> cb")
+    both = keep(ends.select(F.inline(F.array(F.struct("ca", "cb"), F.struct(F.col("cb").alias("ca"), F.col("ca").alias("cb"))))).distinct(), "edges")
+    if both.isEmpty():
+        return labels
+    tops = keep(both.groupBy("ca").agg(F.min("cb").alias("near")).select("ca", F.least("ca", "near").alias("top")), "tops")
     while True:
-        near = both.join(labels.select(F.col("sid").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        step = labels.join(near, labels["sid"] == near["a"], "left").select("sid", "comp", F.least("comp", "near").alias("to"))
-        step = keep(step, "step")
-        jump = step.select(F.col("sid").alias("to"), F.col("to").alias("far"))
-        new = keep(step.join(jump, "to", "left").select("sid", F.least("to", "far").alias("comp"), F.col("comp").alias("was")), "labels")
-        if new.filter("comp <> was").isEmpty():
-            return new.select("sid", "comp")
-        labels = new.select("sid", "comp")
+        near = both.join(tops.select(F.col("ca").alias("cb"), "top"), "cb").groupBy("ca").agg(F.min("top").alias("near"))
+        step = tops.join(near, "ca").select("ca", "top", F.least("top", "near").alias("to"))
+        jump = tops.select(F.col("ca").alias("to"), F.col("top").alias("far"))
+        tops = keep(step.join(jump, "to").select("ca", F.least("to", "far").alias("top"), F.col("top").alias("was")), "tops")
+        if tops.filter("top <> was").isEmpty():
+            break
+    moved = tops.select(F.col("ca").alias("comp"), "top")
+    return keep(labels.join(moved, "comp", "left").select("sid", F.coalesce("top", "comp").alias("comp")), "labels")
 
 
 def _fits(na, nb):
@@ -292,7 +299,7 @@ def grouped_sets(sets: DataFrame) -> DataFrame:
         F.min("sid").alias("lo"), F.min_by("pos", "sid").alias("at")).filter("m > 1")
     lists = lists.groupBy("m", "x", "y", "lo").agg(F.min_by("tok", "at").alias("tok"))
     post = keep(post.join(lists.select("tok"), "tok", "left_semi"), "lists")
-    found = tried = spark.createDataFrame([], "a long, b long")
+    tried = spark.createDataFrame([], "a long, b long")
     labels = sets.select("sid", F.col("sid").alias("comp"))
     one = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for r in range(NARROW + WIDE + 1):
@@ -319,9 +326,8 @@ def grouped_sets(sets: DataFrame) -> DataFrame:
         pairs = keep(one(pairs).join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
-        found = found.union(keep(links(pairs, sets), "links"))
+        labels = components(labels, keep(links(pairs, sets), "links"))
         tried = tried.union(pairs)
-        labels = components(sets, found)
     return labels
 
 
