@@ -50,7 +50,8 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: SQL has no iterative fits and no tokenizer: tests/llm/test_pipeline.py has a brute-force version.
+#: SQL has no iterative fits and no tokenizer. tests/llm/test_llm.py checks the n-gram stage against brute force,
+#: the other stages by the rules that they state.
 ORACLE_SQL = None
 
 
