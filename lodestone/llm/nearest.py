@@ -2,10 +2,11 @@
 
 Vectors are turned by a random rotation and put in lists by their nearest centre. A query probes
 its best lists. Within a list the rotated dimensions are read in column blocks: after d of D
-dimensions the partial product, scaled by D/d, estimates the whole one with an error of about
-|q||x| sqrt((1/d)(1 - d/D)); a candidate leaves as soon as the hypothesis that it reaches the
-query's threshold is rejected at `EPSILON` standard errors. Survivors are scored on the original
-vectors in double precision.
+dimensions the whole product is at most the partial one plus the product of the two lengths that
+are left, and a candidate leaves as soon as that is below the query's threshold. So no candidate
+that reaches the threshold is lost, copies of the query and those that set it among them; only the
+lists that are not probed can hold missed ones. Survivors are scored on the original vectors in
+double precision.
 
 Centres are fitted on at most SAMPLE vectors (the smallest by a hash of the id); every row is
 indexed. Defined results: see `vectors.clean`; only vectors of the most frequent dimension take
@@ -25,9 +26,11 @@ SAMPLE = 8192
 LISTS = 48
 #: Lists that a query probes. The test tables are almost isotropic, so few lists would miss much.
 PROBES = 36
-#: Dimensions of a column block, and standard errors of the test.
+#: Dimensions of a column block; pairs are followed one by one when fewer than one in SPARSE are left.
 COLUMNS = 16
-EPSILON = 3.0
+SPARSE = 64
+#: Rounding of a product, as a part of the two lengths.
+SLACK = 1e-9
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -70,28 +73,39 @@ def scan(turn: np.ndarray, k: int):
     def run(qi, q, ci, c, theta):
         dim = c.shape[1]
         rq, rc = q @ turn, c @ turn
-        size = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((c * c).sum(1))[None, :]
+        long_q, long_c = np.sqrt((q * q).sum(1)), np.sqrt((c * c).sum(1))
         if len(ci) > 2 * k:  # a threshold of this list's own, from its first vectors
             few = q @ c[:2 * k].T
             few[qi[:, None] == ci[None, :2 * k]] = -np.inf
             theta = np.maximum(theta, np.partition(few, few.shape[1] - k, axis=1)[:, few.shape[1] - k])
-        d = min(COLUMNS, dim)
-        part = rq[:, :d] @ rc[:, :d].T
-        error = EPSILON * np.sqrt((1 / d) * (1 - d / dim))
-        a, b = np.nonzero(part * (dim / d) + error * size >= theta[:, None] - 1e-9)
-        s = part[a, b]
-        while d < dim and len(a):
+        rest = lambda r, d: np.sqrt((r[:, d:] * r[:, d:]).sum(1))
+        part, a, b, s = np.zeros((len(q), len(c))), None, None, None
+        for d in range(0, dim, COLUMNS):
             e = min(d + COLUMNS, dim)
-            s = s + np.einsum("ij,ij->i", rq[a, d:e], rc[b, d:e])
-            d = e
-            error = EPSILON * np.sqrt((1 / d) * (1 - d / dim))
-            live = s * (dim / d) + error * size[a, b] >= theta[a] - 1e-9
-            a, b, s = a[live], b[live], s[live]
-        return a, b, np.einsum("ij,ij->i", q[a], c[b])
+            left_q, left_c = rest(rq, e), rest(rc, e)
+            if a is None:  # whole blocks until few pairs are left
+                part += rq[:, d:e] @ rc[:, d:e].T
+                most = np.column_stack([left_q, SLACK * long_q]) @ np.stack([left_c, long_c])
+                most += part
+                live = most >= theta[:, None]
+                if e == dim or np.count_nonzero(live) * SPARSE < live.size:
+                    a, b = np.nonzero(live)
+                    s = part[a, b]
+            else:
+                s = s + _products(rq[:, d:e], rc[:, d:e], a, b)
+                live = s + left_q[a] * left_c[b] + SLACK * long_q[a] * long_c[b] >= theta[a]
+                a, b, s = a[live], b[live], s[live]
+        return a, b, _products(q, c, a, b)
 
     return run
 
 
+def _products(q: np.ndarray, c: np.ndarray, a: np.ndarray, b: np.ndarray, most: int = 1 << 16) -> np.ndarray:
+    """Inner products of the row pairs, each summed in the same order, some pairs at a time."""
+    out = [np.einsum("ij,ij->i", q[a[i:i + most]], c[b[i:i + most]]) for i in range(0, len(a), most)]
+    return np.concatenate(out) if out else np.zeros(0)
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int, lists: int = LISTS, probes: int = PROBES) -> DataFrame:
     """(query_id, rank, vec_id, score) for rows and queries of (vec_id, v)."""
     n = partitions(rows.sparkSession)

@@ -248,6 +248,35 @@ def test_nearest_recall(vectors):
     assert all(abs(s - at[q] @ at[i]) < 1e-9 for q in got for i, s in got[q].items())
 
 
+def test_nearest_finds_copies(spark):
+    """100 copies of each of many vectors; every query's k nearest are copies of it, smallest ids first."""
+    r = np.random.default_rng(21)
+    m = r.normal(size=(200, 64))
+    m /= np.sqrt((m * m).sum(1))[:, None]
+    scorer = nearest.scan(nearest.rotation(64), 20)
+    for v in m:
+        for size in (1.0, 1e6):
+            a, b, s = scorer(np.array([-1]), size * v[None], np.arange(100), np.repeat(size * v[None], 100, 0), np.array([size * v @ (size * v)]))
+            assert list(b) == list(range(100)) and len(set(s)) == 1
+    rows = [(100 * i + j, v.tolist()) for i, v in enumerate(m[:60]) for j in range(100)]
+    got = collections.defaultdict(list)
+    for x in nearest.embeddings_nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50).orderBy("query_id", "rank").collect():
+        got[x["query_id"]].append(x["vec_id"])
+    assert len(got) == 120
+    for q, found in got.items():
+        assert found == [i for i in range(q // 100 * 100, q // 100 * 100 + 21) if i != q][:20]
+
+
+def test_nearest_scan_loses_nothing():
+    """All pairs that reach the threshold leave the scan, whatever the lengths."""
+    r = np.random.default_rng(22)
+    q, c = r.normal(size=(50, 40)), r.normal(size=(3000, 40)) * r.uniform(0.1, 5, (3000, 1))
+    theta = np.sort(q @ c.T, 1)[:, -20]
+    a, b, _ = nearest.scan(nearest.rotation(40), 20)(np.arange(50), q, np.arange(100, 3100), c, theta)
+    want = {(i, j) for i, j in zip(*np.nonzero(q @ c.T >= theta[:, None]), strict=True)}
+    assert want <= set(zip(a.tolist(), b.tolist(), strict=True))
+
+
 def test_html(spark):
     model, r, right = html.lessons(), random.Random(99), 0
     for _ in range(100):
