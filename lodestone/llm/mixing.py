@@ -27,7 +27,7 @@ EVIDENCE = 24.0
 ROUNDS = 40
 TOLERANCE = 1e-4
 
-#: Production weights of the language domains; a domain without one keeps its share of the rest.
+#: Production weights of the language domains, relative to each other; a domain without one keeps its share of the corpus.
 TARGETS = {"en": 0.52, "de": 0.18, "fr": 0.17, "es": 0.13}
 
 
@@ -162,10 +162,26 @@ def fit(soft: DataFrame, weights: np.ndarray, rounds: int = ROUNDS) -> list[np.n
     return history
 
 
+def shares(soft: DataFrame, model: Classifier, targets: Mapping[str, float]) -> np.ndarray:
+    """The weight of each domain; they sum to 1."""
+    given = np.array([targets.get(d, np.nan) for d in model.domains], float)
+    rest = np.isnan(given)
+    if not rest.any() and given.sum() > 0:
+        return given / given.sum()
+    now = _sums(soft, [])
+    now = now / now.sum() if now.sum() > 0 else np.exp(model.prior)
+    weights, listed = now.copy(), given[~rest].sum()
+    weights[~rest] = given[~rest] * (now[~rest].sum() / listed) if listed > 0 else 0.0
+    if weights.sum() <= 0:
+        return now
+    return weights / weights.sum()
+
+
 def rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] | None = None) -> DataFrame:
     """doc_id, mark, row, n_tokens, domain, p_domain, rate, copies for each document row.
 
-    labelled: (domain, text). targets: weight by domain; domains without one share the rest by prior.
+    labelled: (domain, text). targets: weight by domain, relative to each other; a domain without one keeps
+    its share of the tokens of docs, and the others divide what is left.
     copies is the rate rounded up or down by a hash of the row's key, so that its expectation is the rate.
     """
     small_batches(docs.sparkSession)
@@ -176,12 +192,7 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] | N
         return rows.select("*", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("p_domain"),
                            F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
     soft = posteriors(docs, model)
-    prior = np.exp(model.prior)
-    given = np.array([(targets or {}).get(d, np.nan) for d in model.domains], float)
-    rest = np.isnan(given)
-    if rest.any():
-        given[rest] = prior[rest] / prior[rest].sum() * max(0.0, 1 - given[~rest].sum())
-    weights = given / given.sum() if given.sum() else prior
+    weights = shares(soft, model, targets or {})
     history = fit(soft, weights)
     names = model.domains
 

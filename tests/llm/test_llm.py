@@ -125,6 +125,25 @@ def test_mixing_reaches_targets(spark, none):
     assert mixing.rates(none, held).count() == 0 and set(mixing.rates(docs, held.limit(0)).toPandas().rate) == {1.0}
 
 
+def test_mixing_keeps_unlisted_domains(spark):
+    """A fifth labelled language keeps its share of the tokens, and its documents; the listed ones reach their targets among each other."""
+    r = random.Random(5)
+    of = {"en": "abcd", "de": "efgh", "fr": "ijkl", "es": "mnop", "it": "qrst"}
+    langs = [*["en"] * 5, *["it"] * 3, "de", "de", "fr", "fr", "es", "es"]
+    rows = [(i, " ".join("".join(r.choice(of[d]) for _ in range(5)) for _ in range(30)), d) for i, d in enumerate(langs * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    # Fewer of the fifth among the labels than in the corpus: its share is the corpus's.
+    held = docs.filter("domain <> 'it' or doc_id % 4 = 0")
+    out = mixing.rates(docs, held, mixing.TARGETS).toPandas()
+    share = (out.rate * out.n_tokens).groupby(out.domain).sum()
+    share /= share.sum()
+    assert abs(share["it"] - 3 / 14) < 0.01 and out.rate[out.domain == "it"].min() > 0.8
+    assert all(abs(share[d] - w * 11 / 14) < 0.01 for d, w in mixing.TARGETS.items())
+    assert sum(1 for x in mixing.mixed(docs, held, mixing.TARGETS).select("doc_id").distinct().collect() if rows[x["doc_id"]][2] == "it") > 80
+    none = mixing.rates(docs, held).toPandas()
+    assert abs(none.rate - 1).max() < 0.01
+
+
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
