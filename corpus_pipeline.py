@@ -8,17 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import mixing, ngram_join, packing, pii, quality
-from lodestone.llm.common import keep, table
+from lodestone.llm.common import keep, row_key, table
 from lodestone.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go. The classifier's rows are matched by doc_id; of a repeated doc_id all rows must pass."""
-    found = quality.classify(docs, table(spark, sf_dir, "labels"))
-    gone = keep(found.filter(~F.col("keep")).select("doc_id").distinct(), "rejected")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Rejected documents go, each row by its own text and language. A label holds for all rows of its doc_id."""
+    key = row_key("lang", "text").alias("key")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("id"), "quality", "toxic").distinct()
+    keys = docs.select(F.col("doc_id").cast("long").alias("id"), key)
+    labels = labels.join(keys, "id").select(F.col("key").alias("doc_id"), "quality", "toxic")
+    found = quality.classify(docs.select(key.alias("doc_id"), "lang", "text"), labels)
+    gone = keep(found.filter(~F.col("keep")).select(F.col("doc_id").alias("key")).distinct(), "rejected")
+    return docs.select(*COLUMNS, key).join(gone, "key", "left_anti").select(*COLUMNS)
 
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,12 +1,12 @@
 """What the operators share: reading tables, partition counts, packed arrays."""
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import keep
 
-__all__ = ["filtered_join", "keep", "mix64", "partitions", "pieces_of", "semi", "small_batches", "table"]
+__all__ = ["filtered_join", "keep", "mix64", "partitions", "pieces_of", "row_key", "semi", "small_batches", "table"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -58,6 +58,12 @@ def filtered_join(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "i
     return rows.join(keys.filter(F.xxhash64(*on) >= F.lit(-2 ** 63)), on, how)
 
 
+def row_key(*names: str) -> Column:
+    """A 64-bit key of a document's row by its doc_id and the columns `names`, any of which may be null."""
+    cols = [F.col("doc_id").cast("long"), *[F.col(c) for c in names]]
+    return F.xxhash64(*[x for c in cols for x in (c.isNull(), c)])
+
+
 def semi(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows whose key columns are among `keys`."""
     return filtered_join(rows, keys, keys.columns, "left_semi")

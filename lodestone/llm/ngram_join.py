@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, mix64, partitions, pieces_of, semi, small_batches
+from .common import keep, mix64, partitions, pieces_of, row_key, semi, small_batches
 
 WORDS = 5
 PERCENT = 80
@@ -105,7 +105,7 @@ def _profile(batches):
 
 def _planes(x: np.ndarray) -> bytes:
     """The bytes of an array by significance, which compresses better."""
-    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
 
 def _unplanes(data: bytes, kind, n: int, at: int) -> np.ndarray:
@@ -331,10 +331,8 @@ def grouped_sets(sets: DataFrame) -> DataFrame:
     return labels
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each document row."""
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, grp) for each row of (doc_id, text); grp is null for an empty set."""
     profile = keep(docs.mapInPandas(_profile, "doc_id long, set_id string, n long"), "profile")
     known = docs.filter(F.col("doc_id").isNotNull())
     likely = keep(likely_sets(known), "likely")
@@ -344,7 +342,13 @@ def join(docs: DataFrame) -> DataFrame:
     groups = reps.join(grouped_sets(sets), "sid").select("set_id", "comp")
     # A set outside all groups is its own; the documents of an empty set stay apart.
     group = F.when(F.col("n") == 0, F.lit(None)).otherwise(F.coalesce(F.col("comp").cast("string"), F.col("set_id")))
-    rows = keep(profile.join(groups, "set_id", "left").select("doc_id", "n", group.alias("grp")), "grouped")
+    return keep(profile.join(groups, "set_id", "left").select("doc_id", "n", group.alias("grp")), "grouped")
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for each document row."""
+    small_batches(docs.sparkSession)
+    rows = grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     least = rows.groupBy("grp").agg(F.min("doc_id").alias("least"))
     least = least.filter(F.col("grp").isNotNull())
     out = rows.join(least, "grp", "left")
@@ -353,12 +357,21 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def first_of_groups(docs: DataFrame) -> DataFrame:
-    """The documents, one of each group: the one with the smallest doc_id."""
-    gone = join(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"))
-    rest = rows.join(gone.withColumnRenamed("doc_id", "id"), "id", "left_anti")
-    # Rows that repeat a doc_id with the same text are one document.
-    again = rows.filter(F.col("id").isNotNull()).groupBy("id", "mark").agg(F.count("*").alias("m")).filter("m > 1")
+    """The documents, one row of each group: the one with the smallest doc_id, rows with a null doc_id last.
+
+    Rows are told apart by doc_id and text. Those that agree in both are one document, except that rows
+    with a null doc_id and a blank text all stay.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), "text", row_key("text").alias("key"))
+    found = grouped(rows.select(F.col("key").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    found = found.filter(F.col("grp").isNotNull()).select(F.col("doc_id").alias("key"), "grp").distinct()
+    found = keep(found.join(rows.select("key", "id").distinct(), "key"), "members")
+    stay = found.groupBy("grp").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first"))
+    gone = keep(found.join(stay, "grp").filter(F.col("key") != F.col("first.key")).select("key"), "gone")
+    again = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    rest = rows.join(gone, "key", "left_anti")
     if again.isEmpty():
         return rest.select("doc.*")
-    return rest.filter(F.col("id").isNull()).unionByName(rest.filter(F.col("id").isNotNull()).dropDuplicates(["id", "mark"])).select("doc.*")
+    apart = F.col("id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    return rest.filter(apart).unionByName(rest.filter(~apart).dropDuplicates(["key"])).select("doc.*")

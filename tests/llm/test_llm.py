@@ -328,3 +328,21 @@ def test_pipeline(spark, tmp_path, docs):
     assert "@" not in "".join(x["text"] or "" for x in stage["pii"](spark, once, str(tmp_path)).collect())
     packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert packed.groupby("sequence_id").length.sum().max() <= 2048 and set(packed.doc_id) <= set(want.values())
+
+
+def test_pipeline_removes_rows_not_ids(spark, tmp_path):
+    """Rows of a repeated or null doc_id are judged one by one."""
+    r = random.Random(12)
+    a, b, c, d = (words(r, 80) for _ in range(4))
+    junk = "#$%^ " * 50
+    rows = [(3, a), (5, a + " more"), (5, b), (7, c), (7, c + " more"), (None, d), (None, d + " more"), (None, d), (None, a), (None, ""), (None, ""), (8, words(r, 80)), (8, words(r, 80))]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    once = [(x["doc_id"], x["text"]) for x in ngram_join.first_of_groups(df).collect()]
+    assert [t for _, t in once].count("") == 2 and (3, a) in once and (5, b) in once and len(once) == 8
+    assert sum(i == 7 for i, _ in once) == 1 and sum(i == 8 for i, _ in once) == 2 and sum(i is None for i, _ in once) == 3
+    clean = [(100 + i, words(r, 60)) for i in range(120)]
+    rows = [*clean, (1, junk), (1, a), (None, junk + "x"), (None, b)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, 1, 0) for i, _ in clean], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {(x["doc_id"], x["text"]) for x in corpus_pipeline.quality_stage(spark, df, str(tmp_path)).collect()}
+    assert (1, a) in kept and (None, b) in kept and not {(1, junk), (None, junk + "x")} & kept
