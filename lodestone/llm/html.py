@@ -30,6 +30,7 @@ TREES, DEPTH, RATE, BINS = 50, 4, 0.25, 24
 # Elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head script style template noscript svg math iframe object canvas textarea select option datalist audio video title".split())
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp
 small span strike strong sub sup time tt u var wbr input button nobr center""".split())
 TAGS = """nav header footer aside form article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre
@@ -94,7 +95,7 @@ class Dom(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body") and any(t == tag for t, _ in self.open):
             return
-        if tag == "body":
+        if tag == "body" or self.open[-1][0] == "head" and tag not in IN_HEAD:
             self._close(("head",), ())
         if tag in CLOSED_BY_BLOCK:
             self._close(("p",))
@@ -144,6 +145,8 @@ class Dom(HTMLParser):
         self._close((tag,), () if tag not in INLINE and tag != "p" else ("td", "th", "table", "article", "section", "body", "html"))
 
     def handle_data(self, data):
+        if self.open[-1][0] == "head" and data.strip(" \t\n\f\r"):
+            self._close(("head",), ())
         if not self.hidden and data:
             node = self.at
             node.flow.append(data)

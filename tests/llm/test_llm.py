@@ -311,6 +311,18 @@ def test_html(spark):
     assert all(kept[x.parent] for i, x in enumerate(nodes) if i and kept[i])
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<html><head><title>T</title>\n<meta charset=utf-8><p>One</p><p>Two</p></html>", "One\nTwo"),
+    ("<head><style>p{}</style><link href=x><article><h1>A</h1>B</article>", "A\nB"),
+    ("<head><title>T</title> loose <b>text</b>", "loose text"),
+    ("<head><noscript><img src=x>off</noscript><template><p>no</p></template><title>T</title></head><p>One", "One"),
+    ("<head><script>var a = '<p>';</script><title>T</title><body><p>One", "One"),
+])
+def test_html_open_head(page, want):
+    nodes = html.parse(page)
+    assert html.render(nodes, np.ones(len(nodes), bool)) == want
+
+
 def test_pipeline(spark, tmp_path, docs):
     """Stages by the rules they state: rejected and duplicate documents are gone, masked texts are packed whole."""
     r = random.Random(9)
