@@ -1,5 +1,6 @@
 """Session defaults and the durable cut of long lineages."""
 
+import contextlib
 import tempfile
 import uuid
 
@@ -66,10 +67,66 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
     Unlike a checkpoint the table is columnar: a query reads only its columns, filters reach
     the files, and Spark knows the size when it chooses a join. The folder is the
-    application's own, below spark.checkpoint.dir.
+    application's own, below spark.checkpoint.dir. Inside a `scope` the table goes with it.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].folders.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept_at = path  # for scope.free
+    return kept
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that `keep` made."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
+_scopes: list["scope"] = []
+
+
+class scope(contextlib.AbstractContextManager):
+    """Kept tables that go when the block ends, and session settings that hold only inside it.
+
+    What leaves the block is written by `result` and belongs to the block around it, if any.
+    `free` deletes tables earlier, when their last reader has been written.
+    """
+
+    def __init__(self, spark: SparkSession, batch: int | None = None, conf: dict[str, str] | None = None):
+        """batch: at most so many rows go to a Python worker at once; whole documents are large rows."""
+        self.spark, self.folders = spark, []
+        self.conf = dict(conf or {})
+        if batch:
+            name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+            self.conf[name] = str(min(batch, int(spark.conf.get(name)) or batch))
+
+    def __enter__(self):
+        self.before = {k: self.spark.conf.get(k, None) for k in self.conf}
+        for k, v in self.conf.items():
+            self.spark.conf.set(k, v)
+        _scopes.append(self)
+        return self
+
+    def free(self, *tables: DataFrame) -> None:
+        for df in tables:
+            self.folders.remove(df._kept_at)
+            remove(self.spark, df._kept_at)
+
+    def result(self, df: DataFrame, name: str = "result") -> DataFrame:
+        _scopes.remove(self)
+        try:
+            return keep(df, name)
+        finally:
+            _scopes.append(self)
+
+    def __exit__(self, *error):
+        _scopes.remove(self)
+        for path in self.folders:
+            remove(self.spark, path)
+        for k, v in self.before.items():
+            self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
