@@ -4,9 +4,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import keep
+from ..runtime import keep, scope
 
-__all__ = ["filtered_join", "keep", "mix64", "partitions", "pieces_of", "row_key", "semi", "small_batches", "table"]
+__all__ = ["filtered_join", "keep", "mix64", "partitions", "pieces_of", "row_key", "scope", "semi", "small_batches", "table"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """The registered queries of the subpackage, and their SQL where SQL can express them."""
 
-from . import html, mixing, nearest, ngram_join, packing, pii, quality, secrets, suffix_dedup, topk
+from . import html, merkle, mixing, nearest, ngram_join, packing, pii, quality, secrets, suffix_dedup, topk
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op10_exact_topk(spark, sf):
     return topk.embeddings_top(table(spark, sf, "embeddings"))
 
 
+def op12_merkle_manifest(spark, sf):
+    return merkle.prove(table(spark, sf, "documents"))
+
+
 _TOPK_SQL = """
     WITH v AS (
         SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
@@ -72,4 +76,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op5_secret_scan": secrets.sql(), "op10_exact_topk": _TOPK_SQL}
+    return {"op5_secret_scan": secrets.sql(), "op10_exact_topk": _TOPK_SQL, "op12_merkle_manifest": merkle.sql()}
