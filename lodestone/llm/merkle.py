@@ -121,34 +121,34 @@ def numbered(rows: DataFrame, tree: str, order: list[str], name: str) -> DataFra
 _LOG = "tree string, chunk long, at long, start long, n long, total long, level int, log string, top string"
 
 
-def _builder(level: int):
-    """Builders of one round: a group holds the nodes of `level` below one node LEVELS higher."""
+def _builder(level: int, levels: int):
+    """Builders of one round: a group holds the nodes of `level` below one node `levels` higher."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at", kind="stable")
         total, count = int(pdf["n"].iloc[0]), len(pdf)
         whole = height(total)
-        h = max(0, min(LEVELS, whole - level))
+        h = max(0, min(levels, whole - level))
         log = build(list(pdf["digest"]), h)
-        chunk = int(pdf["at"].iloc[0]) // ARITY ** LEVELS
+        chunk = int(pdf["at"].iloc[0]) // ARITY ** levels
         # The segment's first node in the whole tree's log; at higher levels the log goes on between its nodes.
-        start = int(position(min(level, whole), chunk * ARITY ** LEVELS, total, whole))
+        start = int(position(min(level, whole), chunk * ARITY ** levels, total, whole))
         return pd.DataFrame([(pdf["tree"].iloc[0], chunk, chunk, start, count, total, level, "".join(log), log[-1])],
                             columns=[c.split(" ")[0] for c in _LOG.split(", ")])
 
     return run
 
 
-def manifest(leaves: DataFrame) -> list[DataFrame]:
+def manifest(leaves: DataFrame, levels: int = LEVELS) -> list[DataFrame]:
     """Segments of the append logs by round, for leaves (tree, at, n, digest). The last round has a row for each tree."""
     rounds, level = [], 0
     while True:
-        chunked = leaves.select("tree", "at", "n", "digest", F.floor(F.col("at") / ARITY ** LEVELS).alias("chunk"))
-        made = chunked.groupBy("tree", "chunk").applyInPandas(_builder(level), _LOG)
+        chunked = leaves.select("tree", "at", "n", "digest", F.floor(F.col("at") / ARITY ** levels).alias("chunk"))
+        made = chunked.groupBy("tree", "chunk").applyInPandas(_builder(level, levels), _LOG)
         rounds.append(keep(made, f"log{level}"))
-        if rounds[-1].filter("total > %d" % ARITY ** (level + LEVELS)).isEmpty():
+        if rounds[-1].filter("total > %d" % ARITY ** (level + levels)).isEmpty():
             return rounds
-        level += LEVELS
+        level += levels
         # Trees that have their top already are carried along: their height is reached, a builder hands the leaf on.
         leaves = rounds[-1].select("tree", F.col("chunk").alias("at"), F.col("total").alias("n"), F.col("top").alias("digest"))
 
@@ -156,18 +156,22 @@ def manifest(leaves: DataFrame) -> list[DataFrame]:
 _PROOF = "array<struct<before:string,after:string>>"
 
 
-def _below(batches):
+def _below(levels: int):
     """The leaves of segments with their proofs: their own siblings, then those of the segment's top."""
-    for pdf in batches:
-        for r in pdf.itertuples(index=False):
-            above = [(x["before"], x["after"]) for x in r.proof]
-            h = max(0, min(LEVELS, height(int(r.total)) - int(r.level)))
-            proofs = [siblings(r.log, i, int(r.n), h) + above for i in range(int(r.n))]
-            yield pd.DataFrame({"tree": r.tree, "chunk": np.arange(r.n, dtype=np.int64) + r.chunk * ARITY ** LEVELS,
-                                "proof": [[{"before": a, "after": b} for a, b in p] for p in proofs]})
 
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                above = [(x["before"], x["after"]) for x in r.proof]
+                h = max(0, min(levels, height(int(r.total)) - int(r.level)))
+                proofs = [siblings(r.log, i, int(r.n), h) + above for i in range(int(r.n))]
+                yield pd.DataFrame({"tree": r.tree, "chunk": np.arange(r.n, dtype=np.int64) + r.chunk * ARITY ** levels,
+                                    "proof": [[{"before": a, "after": b} for a, b in p] for p in proofs]})
 
-def segment_proofs(rounds: list[DataFrame], tops: DataFrame) -> DataFrame:
+    return run
+
+
+def segment_proofs(rounds: list[DataFrame], tops: DataFrame, levels: int) -> DataFrame:
     """(tree, chunk, proof) of the lowest round's segments: the siblings above each segment's top.
 
     tops: (tree, proof), the siblings above each tree's top.
@@ -175,24 +179,28 @@ def segment_proofs(rounds: list[DataFrame], tops: DataFrame) -> DataFrame:
     proofs = tops.select("tree", F.lit(0).cast("long").alias("chunk"), "proof")
     for log in reversed(rounds[1:]):
         both = log.join(proofs, ["tree", "chunk"]).select("tree", "chunk", "n", "total", "level", "log", "proof")
-        proofs = keep(both.mapInPandas(_below, f"tree string, chunk long, proof {_PROOF}"), "proofs")
+        proofs = keep(both.mapInPandas(_below(levels), f"tree string, chunk long, proof {_PROOF}"), "proofs")
     return proofs
 
 
-def _proved(key: tuple, rows: pd.DataFrame, segment: pd.DataFrame) -> pd.DataFrame:
+def _proved(levels: int):
     """The documents of a segment: proof digests, and the root that follows from each tampered leaf."""
-    r = segment.iloc[0]
-    above = [(x["before"], x["after"]) for x in r["proof"]]
-    rest, n = "".join(a + b for a, b in above), int(r["n"])
-    h = min(LEVELS, height(int(r["total"])))
-    out = []
-    for doc_id, at, digest, changed in zip(rows["doc_id"], rows["at"], rows["digest"], rows["changed"], strict=True):
-        own = siblings(r["log"], int(at) - int(r["chunk"]) * ARITY ** LEVELS, n, h)
-        out.append((doc_id, digest, r["subroot"], _hash([*[a + b for a, b in own], rest]), fold(changed, own + above)))
-    return pd.DataFrame(out, columns=["doc_id", "leaf", "subroot", "proof_sha256", "folded_root"])
+
+    def run(key: tuple, rows: pd.DataFrame, segment: pd.DataFrame) -> pd.DataFrame:
+        r = segment.iloc[0]
+        above = [(x["before"], x["after"]) for x in r["proof"]]
+        rest, n = "".join(a + b for a, b in above), int(r["n"])
+        h = min(levels, height(int(r["total"])))
+        out = []
+        for doc_id, at, digest, changed in zip(rows["doc_id"], rows["at"], rows["digest"], rows["changed"], strict=True):
+            own = siblings(r["log"], int(at) - int(r["chunk"]) * ARITY ** levels, n, h)
+            out.append((doc_id, digest, r["subroot"], _hash([*[a + b for a, b in own], rest]), fold(changed, own + above)))
+        return pd.DataFrame(out, columns=["doc_id", "leaf", "subroot", "proof_sha256", "folded_root"])
+
+    return run
 
 
-def prove(docs: DataFrame) -> DataFrame:
+def prove(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root and verified for each document row."""
     with scope(docs.sparkSession, batch=64) as kept:
         doc_id = F.col("doc_id").cast("long")
@@ -201,23 +209,23 @@ def prove(docs: DataFrame) -> DataFrame:
         lower = F.when(hit, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
         rows = docs.select(tree.alias("tree"), doc_id.alias("doc_id"), leaf(F.col("text")).alias("digest"), leaf(lower).alias("changed"))
         hashed = keep(rows, "hashed")
-        rows = keep(numbered(hashed, "tree", ["doc_id", "digest"], "sorted").withColumn("chunk", F.floor(F.col("at") / ARITY ** LEVELS)), "leaves")
+        rows = keep(numbered(hashed, "tree", ["doc_id", "digest"], "sorted").withColumn("chunk", F.floor(F.col("at") / ARITY ** levels)), "leaves")
         kept.free(hashed)
-        rounds = manifest(rows)
+        rounds = manifest(rows, levels)
         subroots = rounds[-1].select(F.lit("root").alias("of"), F.col("tree").alias("lang"), F.col("top").alias("digest"))
         subroots = keep(numbered(subroots, "of", ["lang"], "subroots"), "tops")
-        above = manifest(subroots.select(F.col("of").alias("tree"), "at", "n", "digest"))
-        up = segment_proofs(above, docs.sparkSession.range(1).select(F.lit("root").alias("tree"), F.array().cast(_PROOF).alias("proof")))
+        above = manifest(subroots.select(F.col("of").alias("tree"), "at", "n", "digest"), levels)
+        up = segment_proofs(above, docs.sparkSession.range(1).select(F.lit("root").alias("tree"), F.array().cast(_PROOF).alias("proof")), levels)
         both = above[0].join(up, ["tree", "chunk"]).select("tree", "chunk", "n", "total", "level", "log", "proof")
-        up = both.mapInPandas(_below, f"tree string, chunk long, proof {_PROOF}").select(F.col("chunk").alias("at"), "proof")
+        up = both.mapInPandas(_below(levels), f"tree string, chunk long, proof {_PROOF}").select(F.col("chunk").alias("at"), "proof")
         tops = keep(subroots.join(up, "at").select(F.col("lang").alias("tree"), "proof"), "toplists")
-        down = segment_proofs(rounds, tops)
+        down = segment_proofs(rounds, tops, levels)
         logs = rounds[0].join(down, ["tree", "chunk"]).join(subroots.select(F.col("lang").alias("tree"), F.col("digest").alias("subroot")), "tree")
         logs = logs.select("tree", "chunk", "n", "total", "log", "proof", "subroot")
         # Ids as text: pandas has no nulls among integers.
         rows = rows.select("tree", "chunk", F.col("doc_id").cast("string").alias("doc_id"), "at", "digest", "changed")
         out = rows.groupBy("tree", "chunk").cogroup(logs.groupBy("tree", "chunk")).applyInPandas(
-            _proved, "doc_id string, leaf string, subroot string, proof_sha256 string, folded_root string")
+            _proved(levels), "doc_id string, leaf string, subroot string, proof_sha256 string, folded_root string")
         out = out.crossJoin(F.broadcast(above[-1].select(F.col("top").alias("root"))))  # one row
         return kept.result(out.select(F.col("doc_id").cast("long").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root",
                                       (F.col("folded_root") == F.col("root")).alias("verified")))

@@ -1,6 +1,6 @@
 """The registered queries of the subpackage, and their SQL where SQL can express them."""
 
-from . import html, merkle, mixing, nearest, ngram_join, packing, pii, quality, secrets, suffix_dedup, topk
+from . import html, merkle, mixing, nearest, ngram_join, packing, pii, prefix_trie, quality, secrets, suffix_dedup, topk
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op10_exact_topk(spark, sf):
     return topk.embeddings_top(table(spark, sf, "embeddings"))
 
 
+def op11_prefix_trie(spark, sf):
+    return prefix_trie.nodes(table(spark, sf, "conversations"))
+
+
 def op12_merkle_manifest(spark, sf):
     return merkle.prove(table(spark, sf, "documents"))
 
@@ -76,4 +80,5 @@ def queries():
 
 
 def oracle_sql():
-    return {"op5_secret_scan": secrets.sql(), "op10_exact_topk": _TOPK_SQL, "op12_merkle_manifest": merkle.sql()}
+    return {"op5_secret_scan": secrets.sql(), "op10_exact_topk": _TOPK_SQL, "op11_prefix_trie": prefix_trie.sql(),
+            "op12_merkle_manifest": merkle.sql()}
