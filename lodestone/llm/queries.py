@@ -1,6 +1,6 @@
 """The registered queries of the subpackage, and their SQL where SQL can express them."""
 
-from . import html, merkle, mixing, nearest, ngram_join, packing, pii, prefix_trie, quality, secrets, suffix_dedup, topk
+from . import html, langid, merkle, mixing, nearest, ngram_join, packing, pii, prefix_trie, quality, secrets, suffix_dedup, topk
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op12_merkle_manifest(spark, sf):
     return merkle.prove(table(spark, sf, "documents"))
 
 
+def op13_language_id(spark, sf):
+    return langid.identify(table(spark, sf, "documents"))
+
+
 _TOPK_SQL = """
     WITH v AS (
         SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
