@@ -16,6 +16,7 @@ from lodestone.functions import address as A  # noqa: E402
 from lodestone.functions import scoring as S  # noqa: E402
 from lodestone.functions import text as X  # noqa: E402
 from lodestone.operators import budget, counts, corpus, explore, impact, instances, lookup, modules, orphans  # noqa: E402
+from lodestone.operators.postings import PostingIndex  # noqa: E402
 from lodestone.plans import layout  # noqa: E402
 from lodestone.plans.load import Graph, load  # noqa: E402
 from lodestone.sources import overlay  # noqa: E402
@@ -123,8 +124,28 @@ def turn_similarity(spark, sf):
 
 # Ranking
 
+_postings: dict = {}
+
+
+def _indexed(spark, sf, name: str, nodes) -> tuple:
+    """Nodes and their kept index, built once per session."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _postings:
+        _postings[key] = PostingIndex.build(nodes)
+    return nodes, _postings[key]
+
+
+def _document_index(spark, sf):
+    return _indexed(spark, sf, "documents", T.document_nodes(spark, sf))
+
+
+def _part_index(spark, sf):
+    return _indexed(spark, sf, "part", T.part_nodes(spark, sf))
+
+
 def explore_documents(spark, sf):
-    result = explore.explore(T.document_nodes(spark, sf), QUERY, T.label_edges(spark, sf), max_nodes=10)
+    nodes, index = _document_index(spark, sf)
+    result = explore.explore(nodes, QUERY, T.label_edges(spark, sf), max_nodes=10, index=index)
     return result.hits.select(
         "node_key", F.round("score", 4).alias("score"), F.col("excerpt.full_len").cast("long").alias("full_len"),
         F.col("excerpt.truncated").alias("truncated"), *_long("ref_count", "ref_by_count"),
@@ -132,17 +153,19 @@ def explore_documents(spark, sf):
 
 
 def explore_counters(spark, sf):
-    result = explore.explore(T.document_nodes(spark, sf), QUERY, max_nodes=25, char_budget=1800)
+    nodes, index = _document_index(spark, sf)
+    result = explore.explore(nodes, QUERY, max_nodes=25, char_budget=1800, index=index)
     return result.counters.select(*_long("considered", "above_threshold", "shown", "dropped_for_budget"))
 
 
 def document_scores(spark, sf):
-    scores = explore.score_nodes(_corpus(spark, sf), QUERY)
+    scores = _document_index(spark, sf)[1].every_score(QUERY)
     return scores.select("node_key", F.round("score", 4).alias("score"))
 
 
 def explore_parts(spark, sf):
-    result = explore.explore(T.part_nodes(spark, sf), PART_QUERY, max_nodes=25)
+    nodes, index = _part_index(spark, sf)
+    result = explore.explore(nodes, PART_QUERY, max_nodes=25, index=index)
     return result.hits.select("node_key", "name", "type", F.round("score", 4).alias("score"))
 
 

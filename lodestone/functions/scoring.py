@@ -112,29 +112,49 @@ def is_informative(n_docs: Column, df: Column) -> Column:
     return (n_docs < MIN_CORPUS_FOR_CUTS) | (df <= n_docs * UNINFORMATIVE_SHARE)
 
 
-def score_body(freqs, dfs, n_plain: int, length: Column, n_docs: float, average: float) -> Column:
-    """BM25 over the informative query terms, scaled by the share of information answered.
+def _term_weights(dfs, n_docs: float) -> list[float | None]:
+    """A weight for each query term; None for those that too many rows have."""
+    return [None if n_docs >= MIN_CORPUS_FOR_CUTS and df > n_docs * UNINFORMATIVE_SHARE
+            else math.log(1 + (n_docs - df + 0.5) / (df + 0.5)) for df in dfs]
 
-    freqs (columns) and dfs (numbers) are parallel, the n_plain plain query terms first. The
-    statistics are plain numbers, so every row evaluates one short expression. Unknown terms
-    count as asked for, which is what turns an off-topic question into a miss.
-    """
-    norm = K1 * (1 - B + B * length / F.lit(average))
-    gains, answered, asked = [F.lit(0.0)], [F.lit(0.0)], 0.0
-    for i, (f, df) in enumerate(zip(freqs, dfs)):
-        if n_docs >= MIN_CORPUS_FOR_CUTS and df > n_docs * UNINFORMATIVE_SHARE:
+
+def _squashed(gains, present, weights, n_plain: int) -> Column:
+    """BM25 of the gains, squashed, times the share of the plain terms' weight that is present."""
+    total, answered, asked = [F.lit(0.0)], [F.lit(0.0)], 0.0
+    for i, (gain, there, weight) in enumerate(zip(gains, present, weights)):
+        if weight is None:
             continue
-        weight = math.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-        gains.append(F.when(f > 0, weight * f * (K1 + 1) / (f + norm)).otherwise(0.0))
+        total.append(F.when(there, weight * gain).otherwise(0.0))
         if i < n_plain:
             asked += weight
-            answered.append(F.when(f > 0, weight).otherwise(0.0))
+            answered.append(F.when(there, weight).otherwise(0.0))
     if asked <= 0:
         return F.lit(0.0)
-    bm25 = reduce(add, gains)
+    bm25 = reduce(add, total)
     return reduce(add, answered) / asked * bm25 / (bm25 + SATURATION)
 
 
+def gain(f: Column, length: Column, average: float) -> Column:
+    """What f occurrences in a text of this length earn, before the term's weight."""
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * length / F.lit(average)))
+
+
+def score_body(freqs, dfs, n_plain: int, length: Column, n_docs: float, average: float) -> Column:
+    """BM25 over the informative query terms, scaled by the share of information answered.
+
+    freqs (columns) and dfs (numbers) are parallel, the n_plain plain query terms first. The
+    statistics are plain numbers, so every row evaluates one short expression. Unknown terms
+    count as asked for, which is what turns an off-topic question into a miss.
+    """
+    gains = [gain(f, length, average) for f in freqs]
+    return _squashed(gains, [f > 0 for f in freqs], _term_weights(dfs, n_docs), n_plain)
+
+
+def body_bound(peaks, dfs, n_plain: int, n_docs: float) -> Column:
+    """At least score_body of any row whose gains are at most `peaks`; a null peak is a term nobody has."""
+    return _squashed(peaks, [p.isNotNull() for p in peaks], _term_weights(dfs, n_docs), n_plain)
+
+
 def excerpt(body: Column, budget: Column) -> Column:
     """struct<text, truncated, full_len, shown_len>: the first `budget` bytes of a body.
 

@@ -3,13 +3,14 @@
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as X
 from ..runtime import cut
 from .corpus import Corpus
+from .postings import PostingIndex
 
 
 @dataclass(frozen=True)
@@ -97,6 +98,20 @@ def edge_counts(edges: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _ranked(index: PostingIndex, query: str, shown: int) -> tuple[int, int, list]:
+    """(rows considered, rows above the floor, the best rows) of an indexed question."""
+    above = index.scores(query).filter(F.col("score") >= S.MIN_RELEVANCE_SCORE).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n_above = above.count()
+        # Numbers follow the order in which ties are listed.
+        best = above.orderBy(F.round("score", 9).desc(), "doc").limit(shown).collect()
+    finally:
+        above.unpersist()
+    scores = {row["doc"]: row["score"] for row in best}
+    named = index.lookup(list(scores)).select("doc", "node_key", "node_seq").collect()
+    return index.n, n_above, [Row(node_key=r["node_key"], node_seq=r["node_seq"], score=scores[r["doc"]]) for r in named]
+
+
 def explore(
     nodes: DataFrame,
     query: str,
@@ -104,10 +119,12 @@ def explore(
     corpus: Corpus | None = None,
     max_nodes: int = 5,
     char_budget: int = S.DEFAULT_CHAR_BUDGET,
+    index: PostingIndex | None = None,
 ) -> ExploreResult:
     """Rank nodes against free text, an address, a name or a type.
 
-    Only two counts and the winners' keys and scores (at most MAX_NODES_CEILING rows) pass
+    With a kept index of the nodes only the question's lists are read; without one every node is
+    scored in one pass. Only two counts and the winners' keys and scores (at most MAX_NODES_CEILING rows) pass
     through the driver; the winners' bodies are fetched by a broadcast of those keys.
     """
     spark = nodes.sparkSession
@@ -118,7 +135,9 @@ def explore(
 
     # Rounded before ordering, so that equal texts tie whatever the order of a sum was.
     order = [F.round("score", 9).desc(), "module_dir", "address", "node_key", "node_seq"]
-    if query.strip():
+    if query.strip() and index is not None:
+        considered, n_above, top = _ranked(index, query, shown)
+    elif query.strip():
         rows, plain, freqs = matches(corpus or Corpus.build(nodes), query)
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -138,7 +157,7 @@ def explore(
 
     winners = spark.createDataFrame(top, "node_key string, node_seq string, score double")
     # Files of one directory can declare an address twice; each declaration is a node of its own.
-    hits = nodes.join(F.broadcast(winners), ["node_key", "node_seq"]).withColumn(
+    hits = nodes.filter(F.col("node_key").isin([row["node_key"] for row in top])).join(F.broadcast(winners), ["node_key", "node_seq"]).withColumn(
         "excerpt", S.excerpt(F.col("body"), F.lit(share))
     )
     if edges is not None:

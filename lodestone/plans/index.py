@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..operators import counts, explore, impact, instances, lookup, modules, orphans
 from ..operators.corpus import Corpus
+from ..operators.postings import PostingIndex
 from ..runtime import cut, keep
 from ..sources import overlay as ov
 from .load import Graph
@@ -17,13 +18,18 @@ class Index:
     """A graph, its term statistics, and optionally an overlay. Never changed once built."""
 
     def __init__(self, spark: SparkSession, graph: Graph, overlay: ov.Overlay | None = None,
-                 reason: str = ov.NOT_SUPPLIED, corpus: Corpus | None = None):
+                 reason: str = ov.NOT_SUPPLIED, postings: PostingIndex | None = None):
         self.spark, self.graph, self.overlay, self.reason = spark, graph, overlay, reason
-        self.corpus = corpus or Corpus(keep(Corpus.build(graph.nodes).docs, "corpus"))
+        self.postings = postings or PostingIndex.build(graph.nodes)
+
+    @property
+    def corpus(self) -> Corpus:
+        """Every node's terms, for statistics over all of them."""
+        return Corpus.build(self.graph.nodes)
 
     def with_overlay(self, overlay: ov.Overlay | None) -> "Index":
-        """The same configuration with other plan facts; the corpus is shared."""
-        return Index(self.spark, self.graph, overlay, ov.NONE_FOUND, self.corpus)
+        """The same configuration with other plan facts; its postings are shared."""
+        return Index(self.spark, self.graph, overlay, ov.NONE_FOUND, self.postings)
 
     @cached_property
     def root_dirs(self) -> list[str]:
@@ -45,7 +51,8 @@ class Index:
         return self.reason if self.overlay is None else self.overlay.unavailable_reason()
 
     def explore(self, query: str, max_nodes: int = 5, char_budget: int = S.DEFAULT_CHAR_BUDGET):
-        return explore.explore(self.graph.nodes, query, self.graph.edges, self.corpus, max_nodes, char_budget)
+        return explore.explore(
+            self.graph.nodes, query, self.graph.edges, max_nodes=max_nodes, char_budget=char_budget, index=self.postings)
 
     def for_address(self, query: str):
         """(declarations, references) of an address, a name or a type."""

@@ -62,19 +62,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, partition_by: str | None = None, group_bytes: int | None = None) -> DataFrame:
     """Write a table that many queries read into the checkpoint folder, and read it back.
 
     Unlike a checkpoint the table is columnar: a query reads only its columns, filters reach
     the files, and Spark knows the size when it chooses a join. The folder is the
     application's own, below spark.checkpoint.dir. Inside a `scope` the table goes with it.
+
+    A sorted table that is looked up by key has small row groups (group_bytes), so that a pushed
+    filter reads few of them; partition_by names a folder column that filters prune by.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     if _scopes:
         _scopes[-1].folders.append(path)
-    df.write.parquet(path)
+    writer = df.write
+    if group_bytes:
+        # Pages have to be small as well: the writer looks at a group's size once a page.
+        writer = writer.options(**{"parquet.block.size": group_bytes, "parquet.page.size": group_bytes // 8,
+                                   "parquet.block.size.row.check.min": 100, "parquet.page.size.row.check.min": 100})
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._kept_at = path  # for scope.free
     return kept
@@ -87,6 +97,20 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(conf).delete(at, True)
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """(kept) df with `no`, counted from 0 without gaps in the global order; columns that tie everywhere aside, stable.
+
+    A range partitioning sorts; only one count for each partition is looked at together.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = keep(ranged.withColumn("_row", F.monotonically_increasing_id()), f"{name}-sorted")
+    part = F.shiftright("_row", 33)
+    here = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    here = here.select("_part", F.expr("sum(_n) OVER (ORDER BY _part) - _n").alias("_before"))  # a row for each partition
+    row = F.col("_row").bitwiseAND(F.lit(2 ** 33 - 1))
+    return ranged.withColumn("_part", part).join(here, "_part").withColumn("no", row + F.col("_before")).drop("_row", "_part", "_before")
+
+
 _scopes: list["scope"] = []
 
 
@@ -117,10 +141,10 @@ class scope(contextlib.AbstractContextManager):
             self.folders.remove(df._kept_at)
             remove(self.spark, df._kept_at)
 
-    def result(self, df: DataFrame, name: str = "result") -> DataFrame:
+    def result(self, df: DataFrame, name: str = "result", **layout) -> DataFrame:
         _scopes.remove(self)
         try:
-            return keep(df, name)
+            return keep(df, name, **layout)
         finally:
             _scopes.append(self)
 

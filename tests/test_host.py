@@ -79,7 +79,7 @@ def test_two_clocks(fleet):
     (root / "plan.json").write_text(plan())
     second = host.current()
     assert second is not first and (host.builds, host.overlay_builds) == (1, 2)
-    assert second.graph is first.graph and second.corpus is first.corpus
+    assert second.graph is first.graph and second.postings is first.postings
     assert "Nothing in this set is replaced" in report.impact_text(second, "berth.tug")
     (root / "plan.json").write_text("{broken")
     third = host.current()
