@@ -16,6 +16,7 @@ from lodestone.functions import address as A  # noqa: E402
 from lodestone.functions import scoring as S  # noqa: E402
 from lodestone.functions import text as X  # noqa: E402
 from lodestone.operators import budget, counts, corpus, explore, impact, instances, lookup, modules, orphans  # noqa: E402
+from lodestone.operators.keyed import KeyedGraph  # noqa: E402
 from lodestone.operators.postings import PostingIndex  # noqa: E402
 from lodestone.plans import layout  # noqa: E402
 from lodestone.plans.load import Graph, load  # noqa: E402
@@ -208,9 +209,20 @@ def unresolved_refs(spark, sf):
     return edges.select("from_key", "unresolved")
 
 
+_keyed: dict = {}
+
+
+def _star_graph(spark, sf) -> KeyedGraph:
+    """The tables as a graph laid out by key, once per session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _keyed:
+        _keyed[key] = KeyedGraph.build(T.star_nodes(spark, sf), T.star_edges(spark, sf))
+    return _keyed[key]
+
+
 def _references(spark, sf, query):
-    nodes, edges = T.star_nodes(spark, sf), T.star_edges(spark, sf)
-    found = lookup.references(nodes, edges, lookup.declarations(nodes, query))
+    graph = _star_graph(spark, sf)
+    found = lookup.references(graph, lookup.declarations(graph, query))
     return found.select("decl_key", "direction", "kind", "peer_key", "peer_address", "file", "line", "traversal")
 
 
@@ -227,11 +239,11 @@ def refs_by_type(spark, sf):
 
 
 def declarations(spark, sf):
-    return lookup.declarations(T.star_nodes(spark, sf), "red widget").select("node_key", "kind", "name")
+    return lookup.declarations(_star_graph(spark, sf), "red widget").select("node_key", "kind", "name")
 
 
 def _impact(spark, sf, address, direction, depth):
-    return impact.impact(T.star_nodes(spark, sf), T.star_edges(spark, sf), address, direction, depth)
+    return impact.impact(_star_graph(spark, sf), address, direction, depth)
 
 
 def _reached(result):
@@ -363,7 +375,7 @@ def config_modules(spark, sf):
 
 def config_impact(spark, sf):
     g = _trade_graph(spark, sf)
-    return _reached(impact.impact(g.nodes, g.edges, "nation", "dependents", 2))
+    return _reached(impact.impact(g.keyed, "nation", "dependents", 2))
 
 
 # Overlay

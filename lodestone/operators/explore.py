@@ -83,19 +83,15 @@ def score_nodes(corpus: Corpus, query: str) -> DataFrame:
     return score_matches(cut(rows), plain, freqs)
 
 
-def edge_counts(edges: DataFrame, keys: list[str]) -> DataFrame:
+def edge_counts(outgoing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """(node_key, ref_count, ref_by_count) over all edge kinds, for at most 25 hits.
 
-    The keys are literals, so the filter reaches the scan of the edges.
+    The keys are literals, so the filters reach the scans of the edges, each sorted by its own end.
     """
-    touching = edges.filter(F.col("from_key").isin(keys) | F.col("to_key").isin(keys))
-    ends = touching.select(F.explode(F.array(
-        F.struct(F.col("from_key").alias("node_key"), F.lit(1).alias("out"), F.lit(0).alias("in")),
-        F.struct(F.col("to_key").alias("node_key"), F.lit(0).alias("out"), F.lit(1).alias("in")),
-    )).alias("e")).select("e.*").filter(F.col("node_key").isin(keys))
-    return ends.groupBy("node_key").agg(
-        F.sum("out").alias("ref_count"), F.sum("in").alias("ref_by_count")
-    )
+    ends = outgoing.filter(F.col("from_key").isin(keys)).select(F.col("from_key").alias("node_key"), F.lit(1).alias("out"), F.lit(0).alias("in"))
+    ends = ends.unionByName(
+        incoming.filter(F.col("to_key").isin(keys)).select(F.col("to_key").alias("node_key"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    return ends.groupBy("node_key").agg(F.sum("out").alias("ref_count"), F.sum("in").alias("ref_by_count"))
 
 
 def _ranked(index: PostingIndex, query: str, shown: int) -> tuple[int, int, list]:
@@ -120,9 +116,11 @@ def explore(
     max_nodes: int = 5,
     char_budget: int = S.DEFAULT_CHAR_BUDGET,
     index: PostingIndex | None = None,
+    incoming: DataFrame | None = None,
 ) -> ExploreResult:
     """Rank nodes against free text, an address, a name or a type.
 
+    edges (and incoming, if they lie sorted by their other end too) give reference counts.
     With a kept index of the nodes only the question's lists are read; without one every node is
     scored in one pass. Only two counts and the winners' keys and scores (at most MAX_NODES_CEILING rows) pass
     through the driver; the winners' bodies are fetched by a broadcast of those keys.
@@ -161,6 +159,6 @@ def explore(
         "excerpt", S.excerpt(F.col("body"), F.lit(share))
     )
     if edges is not None:
-        counts = edge_counts(edges, [row["node_key"] for row in top])
+        counts = edge_counts(edges, edges if incoming is None else incoming, [row["node_key"] for row in top])
         hits = hits.join(F.broadcast(counts), "node_key", "left").fillna(0, ["ref_count", "ref_by_count"])
     return ExploreResult(hits.orderBy(*order), counters)

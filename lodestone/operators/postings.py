@@ -81,7 +81,7 @@ class PostingIndex:
         spark = nodes.sparkSession
         with scope(spark) as kept:
             columns = [*ORDER, "kind", "type", "name", "source", "file", "deprecated", "doc", "body"]
-            rows = numbered(nodes.select(*columns), list(ORDER), "ranked").withColumnRenamed("no", "number")
+            rows = numbered(nodes.select(*columns), list(ORDER), "ranked")[0].withColumnRenamed("no", "number")
             rows = rows.select(
                 F.col("number").alias("doc"), *ORDER, "type", "name", X.tokens(S.node_text(F.col("doc"), F.col("body"))).alias("terms"),
                 X.tokens(S.identity_text()).alias("identity"), S.authority(F.col("kind"), F.col("file"), F.col("deprecated")).alias("authority"),

@@ -51,16 +51,17 @@ class Index:
         return self.reason if self.overlay is None else self.overlay.unavailable_reason()
 
     def explore(self, query: str, max_nodes: int = 5, char_budget: int = S.DEFAULT_CHAR_BUDGET):
-        return explore.explore(
-            self.graph.nodes, query, self.graph.edges, max_nodes=max_nodes, char_budget=char_budget, index=self.postings)
+        keyed = self.graph.keyed
+        return explore.explore(keyed.nodes.drop("first", "last"), query, keyed.outgoing, max_nodes=max_nodes, char_budget=char_budget,
+                               index=self.postings, incoming=keyed.incoming)
 
     def for_address(self, query: str):
         """(declarations, references) of an address, a name or a type."""
-        decls = cut(lookup.declarations(self.graph.nodes, query))
-        return decls, lookup.references(self.graph.nodes, self.graph.edges, decls)
+        decls = cut(lookup.declarations(self.graph.keyed, query))
+        return decls, lookup.references(self.graph.keyed, decls)
 
     def impact(self, address: str, direction: str = "dependents", depth: int = impact.DEFAULT_DEPTH):
-        return impact.impact(self.graph.nodes, self.graph.edges, address, direction, depth)
+        return impact.impact(self.graph.keyed, address, direction, depth)
 
     def modules(self, filter_text: str = "") -> DataFrame:
         return modules.module_usage(self.graph.nodes, filter_text)

@@ -97,18 +97,21 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(conf).delete(at, True)
 
 
-def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
-    """(kept) df with `no`, counted from 0 without gaps in the global order; columns that tie everywhere aside, stable.
+def numbered(df: DataFrame, order: list, name: str) -> tuple[DataFrame, int]:
+    """(df with `no`, rows): numbers from 0 without gaps in the global order.
 
-    A range partitioning sorts; only one count for each partition is looked at together.
+    A range partitioning sorts, the result is kept, and each partition's rows are counted; one
+    number a partition is all that meets in one place. Rows that tie are numbered as they were kept.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = keep(ranged.withColumn("_row", F.monotonically_increasing_id()), f"{name}-sorted")
-    part = F.shiftright("_row", 33)
-    here = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    here = here.select("_part", F.expr("sum(_n) OVER (ORDER BY _part) - _n").alias("_before"))  # a row for each partition
+    part = F.shiftright("_row", 33).cast("int")
+    counted = {r["part"]: r["n"] for r in ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    before, total = [0] * (max(counted, default=0) + 1), 0
+    for i in range(len(before)):
+        before[i], total = total, total + counted.get(i, 0)
     row = F.col("_row").bitwiseAND(F.lit(2 ** 33 - 1))
-    return ranged.withColumn("_part", part).join(here, "_part").withColumn("no", row + F.col("_before")).drop("_row", "_part", "_before")
+    return ranged.withColumn("no", row + F.get(F.lit(before).cast("array<long>"), part)).drop("_row"), total
 
 
 _scopes: list["scope"] = []
