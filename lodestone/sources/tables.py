@@ -271,8 +271,11 @@ def trade_files(spark: SparkSession, folder: str) -> DataFrame:
             "'provider \"market\" {'", "'  alias = \"main\"'", "'}'", "''",
             "'locals {'", "concat('  name = \"', n_name, '\"')", "'}'", "''",
             "'module \"market\" {'", "'  source  = \"registry/market/core\"'",
-            f"concat('  version = \"4.', cast(n_nationkey % 3 as string), '.0\"')",
-            "'  label   = local.name'", "'}'",
+            f"concat('  version = \"4.$', '{{', cast(n_nationkey % 3 as string), '}}.0\"')",
+            "'  label   = local.name'", "'}'", "''",
+            # A heredoc and a conditional of constants.
+            "'module \"feed\" {'", "'  source  = <<-EOT'", "'    registry/feed'", "'  EOT'",
+            "concat('  version = (!(1 == 2) ? \"1.$', '{1 + 1}\" : \"0\")')", "'}'",
         ),
     )
     calls = _text_file(

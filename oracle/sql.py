@@ -177,6 +177,11 @@ _CONFIG_NODES = """SELECT 'nations/n' || n_nationkey || '|provider.market.main'
     'nations/n' || n_nationkey || '/main.tf', 11, 11, '', false, false FROM nation
   UNION ALL SELECT 'nations/n' || n_nationkey || '|module.market', 'module', '', 'market', 'nations/n' || n_nationkey, false,
     'nations/n' || n_nationkey || '/main.tf', 14, 18, '', false, false FROM nation
+  UNION ALL SELECT 'nations/n' || n_nationkey || '|module.feed', 'module', '', 'feed', 'nations/n' || n_nationkey, false,
+    'nations/n' || n_nationkey || '/main.tf', 20, 25, '', false, false FROM nation
+  UNION ALL SELECT '|source.registry/feed' || chr(10) || '@1.2', 'module_source', '', 'feed' || chr(10), '', false,
+    f, 20, 0, 'Remote module source; its internals are not indexed without an init.', false, false
+    FROM (SELECT min('nations/n' || n_nationkey || '/main.tf') AS f FROM nation)
   UNION ALL SELECT 'nations/n' || n_nationkey || '|stack.nations/n' || n_nationkey, 'stack', '', 'n' || n_nationkey,
     'nations/n' || n_nationkey, false, 'nations/n' || n_nationkey, 1, 0,
     'Root module at nations/n' || n_nationkey || '.', false, false FROM nation
@@ -224,6 +229,8 @@ _CONFIG_EDGES = " UNION ALL ".join([
     _edge("CALLS", "'nations/n' || n_nationkey || '|module.market'",
           "'|source.registry/market/core@4.' || n_nationkey % 3 || '.0'", "'registry/market/core'",
           "'nations/n' || n_nationkey || '/main.tf'", 14, "nation"),
+    _edge("CALLS", "'nations/n' || n_nationkey || '|module.feed'", "'|source.registry/feed' || chr(10) || '@1.2'",
+          "'registry/feed' || chr(10)", "'nations/n' || n_nationkey || '/main.tf'", 20, "nation"),
     _edge("REFERENCES", f"{_N} || '|module.c' || c_custkey", f"{_N} || '|local.name'", "'local.name'", _CF, 3, "customer"),
     _edge("PROVIDES", f"{_N} || '|module.c' || c_custkey", f"{_N} || '|provider.market.main'", "'market.main'", _CF, 6, "customer"),
     _edge("CALLS", f"{_N} || '|module.c' || c_custkey", "'|source.../../customers/c' || c_custkey",
@@ -385,6 +392,7 @@ def all_sql() -> dict[str, str]:
             'declared and wired up by callers, but never read inside this module' AS reason FROM customer""",
         "config_modules": """SELECT 'registry/market/core' AS source, count(DISTINCT n_nationkey % 3)::BIGINT AS n_versions,
             count(*)::BIGINT AS n_sites, false AS local FROM nation
+            UNION ALL SELECT 'registry/feed' || chr(10), 1, count(*), false FROM nation
             UNION ALL SELECT '../../customers/c' || c_custkey, 1, 1, true FROM customer""",
         "config_impact": f"""WITH nodes AS ({_CONFIG_NODES}), edges AS ({_CONFIG_EDGES}),
             o AS (SELECT node_key FROM nodes WHERE name = 'nation'),
