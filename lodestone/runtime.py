@@ -72,11 +72,15 @@ def keep(df: DataFrame, name: str, partition_by: str | None = None, group_bytes:
     A sorted table that is looked up by key has small row groups (group_bytes), so that a pushed
     filter reads few of them; partition_by names a folder column that filters prune by.
     """
+    return _keep(df, name, _scopes[-1] if _scopes else None, partition_by, group_bytes)
+
+
+def _keep(df: DataFrame, name: str, owner: "scope | None", partition_by: str | None = None, group_bytes: int | None = None) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].folders.append(path)
+    if owner:
+        owner.folders.append(path)
     writer = df.write
     if group_bytes:
         # Pages have to be small as well: the writer looks at a group's size once a page.
@@ -145,11 +149,8 @@ class scope(contextlib.AbstractContextManager):
             remove(self.spark, df._kept_at)
 
     def result(self, df: DataFrame, name: str = "result", **layout) -> DataFrame:
-        _scopes.remove(self)
-        try:
-            return keep(df, name, **layout)
-        finally:
-            _scopes.append(self)
+        at = _scopes.index(self)
+        return _keep(df, name, _scopes[at - 1] if at else None, **layout)
 
     def __exit__(self, *error):
         _scopes.remove(self)
