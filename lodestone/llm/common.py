@@ -43,17 +43,23 @@ def pieces_of(batches, size, most_bytes: int = 8 << 20, most_rows: int = 4096):
         yield pdf.iloc[start:]
 
 
+#: Settings under which a filtered join of any size gets its Bloom filter; the filter's size is bounded.
+BLOOM = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1t",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "8000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": str(1 << 26),
+}
+
+
 def filtered_join(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """A join that Spark precedes by a Bloom filter of bounded size on the key, so that most rows
-    without a partner are not shuffled. Without the filter the result is the same.
+    without a partner are not shuffled. Without the filter the result is the same. A scope with the
+    settings BLOOM puts the session's own back.
     """
-    conf = rows.sparkSession.conf
-    conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
-    conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
-    conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1t")
-    # Bits for this many keys, at most.
-    conf.set("spark.sql.optimizer.runtime.bloomFilter.maxNumItems", "8000000")
-    conf.set("spark.sql.optimizer.runtime.bloomFilter.maxNumBits", str(1 << 26))
+    for k, v in BLOOM.items():
+        rows.sparkSession.conf.set(k, v)
     # Always true: Spark makes the filter only for keys that are themselves filtered.
     return rows.join(keys.filter(F.xxhash64(*on) >= F.lit(-2 ** 63)), on, how)
 

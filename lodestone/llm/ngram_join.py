@@ -6,13 +6,15 @@
    partner is out, without its shingles being listed as rows.
 3. The sets that stay are ordered globally, rare shingles first. Two sets that link share one of
    their first n - ceil(0.8 n) + 1 shingles.
-4. A set is compared with one set of the longest of its posting lists, twice with another one, then
-   with one set of each of its lists; then, where a list still holds several groups, with all sets of
-   other groups that length and position allow. Members of one group need no comparison for the groups to be right, so large groups of
-   near copies cost as many comparisons as they have members.
-5. Comparisons are prefix-tree traversals: the partners of a set are stored by common shingles
-   first; along a shared path the overlap is counted once, and a path is left when the overlap so
-   far plus the remaining length is too small.
+4. Large groups of near copies are joined cheaply first: a set is compared with one set of the longest
+   of its posting lists, twice with another one, then with one set of each of its lists. Members of one
+   group need no comparison for the groups to be right.
+5. Each list that still holds several groups is a prefix tree of its globally ordered sets in a task,
+   which each of them traverses once: along a shared path the overlap is counted once for all that
+   follow it, and a subtree is left when the overlap so far plus the largest length that remains below
+   it is too small for the shortest set there, or when no length below fits. Only links that join two
+   groups leave the task, so a list of sets that do not link yields nothing. A list with more than
+   CHUNK shingles is cut into chunks by set, and each two chunks meet in one task.
 
 Defined results: null or blank text has an empty set and links with nothing; repeated rows form one
 group; rows of one doc_id with different texts are grouped by their texts; a null doc_id takes no
@@ -24,10 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, mix64, partitions, pieces_of, row_key, semi, small_batches
+from .common import BLOOM, keep, mix64, partitions, pieces_of, row_key, scope, semi
 
 WORDS = 5
 PERCENT = 80
+#: Shingles of a list's chunk.
+CHUNK = 1 << 20
 #: Rounds in which a set is compared with one set of its longest list, and with one set of each list.
 NARROW, WIDE = 2, 1
 
@@ -212,7 +216,11 @@ def ordered_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(sid, n, first, shared): shared shingles of each set, rare first, and how many may be its first match."""
     rows = semi(docs, reps.select("doc_id")).select("text").mapInPandas(_members, "set_id string, n int, h array<long>")
     rows = rows.join(reps.select("set_id", "sid"), "set_id").dropDuplicates(["sid"]).select("sid", "n", "h")
-    rows = keep(rows, "members")
+    with scope(docs.sparkSession) as kept:
+        return kept.result(_ordered(keep(rows, "members")), "sets")
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
     flat = rows.select("sid", F.explode("h").alias("tok"))
     df = flat.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
     lists = flat.join(df, "tok").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("l"))  # one set's shingles
@@ -220,7 +228,7 @@ def ordered_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     own = F.col("n") - F.size("l")
     out = out.select("sid", "n", own.alias("own"), (F.col("n") - _least(F.col("n")) + 1 - own).alias("first"),
                      F.transform("l", lambda x: x["tok"]).alias("toks"))
-    return keep(out.filter("first > 0"), "sets")
+    return out.filter("first > 0")
 
 
 def _overlaps(batches):
@@ -254,6 +262,103 @@ def _overlaps(batches):
         yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
+class Tree:
+    """A prefix tree over sorted paths; a node is a run of shingles that all sets below it share."""
+
+    def __init__(self, paths: list[np.ndarray], sizes: list[int]):
+        order = sorted(range(len(paths)), key=lambda i: tuple(paths[i][:16].tolist()))  # long equal beginnings are sorted below
+        self.nodes: list[tuple] = []
+        self.root = self._grow([(i, paths[i], sizes[i]) for i in order], 0)
+
+    def _grow(self, rows, depth: int) -> int:
+        """Add the node of rows that agree up to `depth`; children by their next shingle. The stack is explicit."""
+        top = len(self.nodes)
+        todo = [(rows, depth, None)]
+        while todo:
+            rows, at, parent = todo.pop()
+            end = self._shared(rows, at)
+            here = [i for i, p, _ in rows if len(p) == end]
+            node = (rows[0][1][at:end], max(len(p) for _, p, _ in rows) - end, min(n for *_, n in rows), max(n for *_, n in rows), here, [])
+            self.nodes.append(node)
+            if parent is not None:
+                self.nodes[parent][5].append(len(self.nodes) - 1)
+            me, below = len(self.nodes) - 1, {}
+            for r in rows:
+                if len(r[1]) > end:
+                    below.setdefault(int(r[1][end]), []).append(r)
+            todo += [(group, end, me) for group in below.values()]
+        return top
+
+    @staticmethod
+    def _shared(rows, at: int) -> int:
+        first, end = rows[0][1], min(len(p) for _, p, _ in rows)
+        for _, p, _ in rows[1:]:
+            differ = np.nonzero(first[at:end] != p[at:end])[0]
+            if len(differ):
+                end = at + int(differ[0])
+        return end
+
+    def partners(self, own: np.ndarray, n: int, wanted):
+        """Rows whose set links with the sorted shingles `own` of a set of n, among those that wanted() accepts."""
+        todo = [(self.root, 0)]
+        while todo:
+            k, overlap = todo.pop()
+            run, rest, least, most, here, below = self.nodes[k]
+            if PERCENT * n > 100 * most or PERCENT * least > 100 * n:
+                continue
+            need = -(-PERCENT * (n + max(least, -(-PERCENT * n // 100))) // (100 + PERCENT))
+            if overlap + len(run) + rest < need:
+                continue
+            at = np.searchsorted(own, run)
+            at[at == len(own)] = 0
+            overlap += int((own[at] == run).sum()) if len(own) else 0
+            if overlap + rest < need:
+                continue
+            yield from ((i, overlap) for i in here if wanted(i))
+            todo += [(c, overlap) for c in below]
+
+
+def _list_links(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links that join groups among the sets of one list, or between two chunks of it."""
+    _, left, right = key
+    paths = [np.asarray(t, np.int64) for t in pdf["toks"]]
+    sid, comp, sizes, chunk = (pdf[c].tolist() for c in ("sid", "comp", "n", "chunk"))
+    # Groups that links join in this task; a pair within one needs no comparison.
+    up = {c: c for c in comp}
+
+    def top(c):
+        while up[c] != c:
+            up[c] = up[up[c]]
+            c = up[c]
+        return c
+
+    into = [i for i in range(len(paths)) if chunk[i] == right]
+    tree = Tree([paths[i] for i in into], [sizes[i] for i in into]) if into else None
+    out = []
+    for q in range(len(paths)) if tree else ():
+        if chunk[q] != left or len(up) == 1:
+            continue
+        other = lambda i: top(comp[into[i]]) != top(comp[q])  # noqa: B023, E731
+        for i, overlap in tree.partners(np.sort(paths[q]), sizes[q], other):
+            b = into[i]
+            if overlap * (100 + PERCENT) >= PERCENT * (sizes[q] + sizes[b]) and top(comp[b]) != top(comp[q]):
+                up[top(comp[b])] = top(comp[q])
+                out.append((sid[q], sid[b]))
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def list_links(entries: DataFrame, sets: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) between groups among entries (tok, sid, comp) of posting lists."""
+    s = sets.select("sid", "n", "toks")
+    rows = entries.select("tok", "sid", "comp").join(s.select("sid", F.size("toks").alias("m")), "sid")
+    chunks = rows.groupBy("tok").agg(F.ceil(F.sum("m") / chunk).alias("k"))
+    rows = rows.join(chunks, "tok").withColumn("chunk", F.pmod(F.xxhash64("sid"), "k"))
+    met = rows.select("tok", "sid", "comp", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("with"))
+    met = met.withColumns({"left": F.least("chunk", "with"), "right": F.greatest("chunk", "with")})
+    met = met.join(s, "sid").select("tok", "left", "right", "sid", "comp", "n", "chunk", "toks")
+    return met.groupBy("tok", "left", "right").applyInPandas(_list_links, "a long, b long")
+
+
 def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those pairs (a, b) of sets that link."""
     s = sets.select("sid", "n", "toks")
@@ -290,64 +395,69 @@ def _fits(na, nb):
 
 def grouped_sets(sets: DataFrame) -> DataFrame:
     """(sid, comp) of the sets."""
+    with scope(sets.sparkSession) as kept:
+        return _grouped_sets(sets, kept)
+
+
+def _grouped_sets(sets: DataFrame, kept: scope) -> DataFrame:
     spark = sets.sparkSession
     post = sets.select("sid", "n", "own", F.posexplode(F.slice("toks", F.lit(1), F.col("first"))).alias("pos", "tok"))
-    post = keep(post.withColumn("pos", F.col("pos") + F.col("own")).drop("own"), "postings")
+    post = postings = keep(post.withColumn("pos", F.col("pos") + F.col("own")).drop("own"), "postings")
     # Lists with the same sets stand for each other; the first in the global order bounds overlaps best.
     lists = post.groupBy("tok").agg(
         F.count("*").alias("m"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y"),
         F.min("sid").alias("lo"), F.min_by("pos", "sid").alias("at")).filter("m > 1")
     lists = lists.groupBy("m", "x", "y", "lo").agg(F.min_by("tok", "at").alias("tok"))
     post = keep(post.join(lists.select("tok"), "tok", "left_semi"), "lists")
+    kept.free(postings)
     tried = spark.createDataFrame([], "a long, b long")
     labels = sets.select("sid", F.col("sid").alias("comp"))
     one = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    need = lambda na, nb: F.ceil((na + nb) * PERCENT / (100.0 + PERCENT) - 1e-9)
     for r in range(NARROW + WIDE + 1):
-        at = keep(post.join(labels, "sid"), "labelled")
-        open_ = at.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.min_by(
-            F.struct("sid", "comp", "n", "pos"), F.xxhash64("sid", F.lit(r))).alias("rep")).filter("lo < hi")
-        open_ = keep(open_, "open")
-        if open_.isEmpty():
-            break
-        need = lambda na, nb: F.ceil((na + nb) * PERCENT / (100.0 + PERCENT) - 1e-9)
-        if r < NARROW + WIDE:
+        with scope(spark) as part:
+            at = keep(post.join(labels, "sid"), "labelled")
+            open_ = at.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.min_by(
+                F.struct("sid", "comp", "n", "pos"), F.xxhash64("sid", F.lit(r))).alias("rep")).filter("lo < hi")
+            open_ = keep(open_, "open")
+            if open_.isEmpty():
+                break
+            if r == NARROW + WIDE:
+                new = keep(list_links(at.join(open_.select("tok"), "tok", "left_semi"), sets), "links")
+                return kept.result(components(labels, new), "labels")
             pairs = at.join(open_, "tok").filter((F.col("comp") != F.col("rep.comp")) & _fits(F.col("n"), F.col("rep.n")))
             # The first shingle that two sets share leaves room for the whole overlap.
             pairs = pairs.filter(F.least(F.col("n") - F.col("pos"), F.col("rep.n") - F.col("rep.pos")) >= need(F.col("n"), F.col("rep.n")))
             if r < NARROW:
                 pairs = pairs.groupBy("sid").agg(F.max_by("rep", F.struct("m", "tok")).alias("rep"))
             pairs = pairs.select(F.col("rep.sid").alias("a"), F.col("sid").alias("b"))
-        else:
-            left = at.join(open_.select("tok"), "tok")
-            right = left.select("tok", F.col("sid").alias("sb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
-            pairs = left.join(right, "tok").filter((F.col("comp") < F.col("cb")) & _fits(F.col("n"), F.col("nb")))
-            pairs = pairs.filter(F.least(F.col("n") - F.col("pos"), F.col("nb") - F.col("pb")) >= need(F.col("n"), F.col("nb")))
-            pairs = pairs.select(F.col("sid").alias("a"), F.col("sb").alias("b"))
-        pairs = keep(one(pairs).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        labels = components(labels, keep(links(pairs, sets), "links"))
-        tried = tried.union(pairs)
-    return labels
+            pairs = part.result(one(pairs).join(tried, ["a", "b"], "left_anti"), "pairs")
+            if pairs.isEmpty():
+                continue
+            labels = part.result(components(labels, keep(links(pairs, sets), "links")), "labels")
+            tried = tried.union(pairs)
+    return kept.result(labels, "labels")
 
 
 def grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, n, grp) for each row of (doc_id, text); grp is null for an empty set."""
-    profile = keep(docs.mapInPandas(_profile, "doc_id long, set_id string, n long"), "profile")
-    known = docs.filter(F.col("doc_id").isNotNull())
-    likely = keep(likely_sets(known), "likely")
-    reps = profile.filter(F.col("doc_id").isNotNull()).join(likely, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    reps = keep(reps.withColumn("sid", F.monotonically_increasing_id()), "reps")
-    sets = ordered_sets(known, reps)
-    groups = reps.join(grouped_sets(sets), "sid").select("set_id", "comp")
-    # A set outside all groups is its own; the documents of an empty set stay apart.
-    group = F.when(F.col("n") == 0, F.lit(None)).otherwise(F.coalesce(F.col("comp").cast("string"), F.col("set_id")))
-    return keep(profile.join(groups, "set_id", "left").select("doc_id", "n", group.alias("grp")), "grouped")
+    with scope(docs.sparkSession, batch=1000, conf=BLOOM) as kept:
+        profile = keep(docs.mapInPandas(_profile, "doc_id long, set_id string, n long"), "profile")
+        known = docs.filter(F.col("doc_id").isNotNull())
+        likely = keep(likely_sets(known), "likely")
+        reps = profile.filter(F.col("doc_id").isNotNull()).join(likely, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+        reps = keep(reps.withColumn("sid", F.monotonically_increasing_id()), "reps")
+        kept.free(likely)
+        sets = ordered_sets(known, reps)
+        groups = reps.join(grouped_sets(sets), "sid").select("set_id", "comp")
+        kept.free(sets)
+        # A set outside all groups is its own; the documents of an empty set stay apart.
+        group = F.when(F.col("n") == 0, F.lit(None)).otherwise(F.coalesce(F.col("comp").cast("string"), F.col("set_id")))
+        return kept.result(profile.join(groups, "set_id", "left").select("doc_id", "n", group.alias("grp")), "grouped")
 
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each document row."""
-    small_batches(docs.sparkSession)
     rows = grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     least = rows.groupBy("grp").agg(F.min("doc_id").alias("least"))
     least = least.filter(F.col("grp").isNotNull())
@@ -362,13 +472,13 @@ def first_of_groups(docs: DataFrame) -> DataFrame:
     Rows are told apart by doc_id and text. Those that agree in both are one document, except that rows
     with a null doc_id and a blank text all stay.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), "text", row_key("text").alias("key"))
-    found = grouped(rows.select(F.col("key").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
-    found = found.filter(F.col("grp").isNotNull()).select(F.col("doc_id").alias("key"), "grp").distinct()
-    found = keep(found.join(rows.select("key", "id").distinct(), "key"), "members")
-    stay = found.groupBy("grp").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first"))
-    gone = keep(found.join(stay, "grp").filter(F.col("key") != F.col("first.key")).select("key"), "gone")
+    with scope(docs.sparkSession) as kept:
+        found = grouped(rows.select(F.col("key").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+        found = found.filter(F.col("grp").isNotNull()).select(F.col("doc_id").alias("key"), "grp").distinct()
+        found = keep(found.join(rows.select("key", "id").distinct(), "key"), "members")
+        stay = found.groupBy("grp").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first"))
+        gone = kept.result(found.join(stay, "grp").filter(F.col("key") != F.col("first.key")).select("key"), "gone")
     again = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     rest = rows.join(gone, "key", "left_anti")
     if again.isEmpty():
