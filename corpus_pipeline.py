@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import mixing, ngram_join, packing, pii, quality
-from lodestone.llm.common import keep, row_key, table
+from lodestone.llm.common import keep, row_key, scope, table
 from lodestone.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -20,8 +20,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("id"), "quality", "toxic").distinct()
     keys = docs.select(F.col("doc_id").cast("long").alias("id"), key)
     labels = labels.join(keys, "id").select(F.col("key").alias("doc_id"), "quality", "toxic")
-    found = quality.classify(docs.select(key.alias("doc_id"), "lang", "text"), labels)
-    gone = keep(found.filter(~F.col("keep")).select(F.col("doc_id").alias("key")).distinct(), "rejected")
+    with scope(spark) as kept:  # counts and scores go, the rejected keys stay
+        found = quality.classify(docs.select(key.alias("doc_id"), "lang", "text"), labels)
+        gone = kept.result(found.filter(~F.col("keep")).select(F.col("doc_id").alias("key")).distinct(), "rejected")
     return docs.select(*COLUMNS, key).join(gone, "key", "left_anti").select(*COLUMNS)
 
 
