@@ -21,6 +21,8 @@ group; rows of one doc_id with different texts are grouped by their texts; a nul
 part and has a null component; other columns are ignored.
 """
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,6 +34,8 @@ WORDS = 5
 PERCENT = 80
 #: Shingles of a list's chunk.
 CHUNK = 1 << 20
+#: Leaves of one node that are looked at together.
+FAN = 8
 #: Rounds in which a set is compared with one set of its longest list, and with one set of each list.
 NARROW, WIDE = 2, 1
 
@@ -269,6 +273,13 @@ class Tree:
         order = sorted(range(len(paths)), key=lambda i: tuple(paths[i][:16].tolist()))  # long equal beginnings are sorted below
         self.nodes: list[tuple] = []
         self.root = self._grow([(i, paths[i], sizes[i]) for i in order], 0)
+        #: Nodes with many leaves below them look at these together.
+        self.fans = {}
+        for k, node in enumerate(self.nodes):
+            leaves = [c for c in node[5] if not self.nodes[c][5]]
+            if len(leaves) >= FAN:
+                self.fans[k] = self._fan(leaves)
+                node[5][:] = [c for c in node[5] if self.nodes[c][5]]
 
     def _grow(self, rows, depth: int) -> int:
         """Add the node of rows that agree up to `depth`; children by their next shingle. The stack is explicit."""
@@ -289,6 +300,21 @@ class Tree:
             todo += [(group, end, me) for group in below.values()]
         return top
 
+    def _fan(self, leaves: list[int]):
+        """Leaves of one node at once: which of them has a shingle, their rows and sizes."""
+        rows, sizes, tokens, at = [], [], [], []
+        for k in leaves:
+            run, _, least, most, here, _ = self.nodes[k]
+            for i in here:
+                tokens.append(run)
+                at.append(np.full(len(run), len(rows)))
+                rows.append(i)
+                sizes.append(most)
+        tokens, at = np.concatenate(tokens), np.concatenate(at)
+        order = np.argsort(tokens, kind="stable")
+        known, first = np.unique(tokens[order], return_index=True)
+        return known, np.append(first, len(tokens)), at[order], np.array(rows), np.array(sizes)
+
     @staticmethod
     def _shared(rows, at: int) -> int:
         first, end = rows[0][1], min(len(p) for _, p, _ in rows)
@@ -316,13 +342,22 @@ class Tree:
                 continue
             yield from ((i, overlap) for i in here if wanted(i))
             todo += [(c, overlap) for c in below]
-
-
-def _list_links(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links that join groups among the sets of one list, or between two chunks of it."""
-    _, left, right = key
-    paths = [np.asarray(t, np.int64) for t in pdf["toks"]]
-    sid, comp, sizes, chunk = (pdf[c].tolist() for c in ("sid", "comp", "n", "chunk"))
+            if k in self.fans and len(own):
+                known, first, leaf, rows, sizes = self.fans[k]
+                at = np.searchsorted(known, own)
+                at[at == len(known)] = 0
+                at = at[known[at] == own]
+                all_ = np.full(len(rows), overlap)
+                if len(at):
+                    all_ += np.bincount(np.concatenate([leaf[first[x]:first[x + 1]] for x in at]), minlength=len(rows))
+                for x in np.nonzero(all_ * (100 + PERCENT) >= PERCENT * (n + sizes))[0]:
+                    if wanted(int(rows[x])):
+                        yield int(rows[x]), int(all_[x])
+
+
+def _joined(rows: list[tuple], left: int, right: int) -> list[tuple[int, int]]:
+    """Links that join groups among the sets (sid, comp, n, chunk, toks) of one list, or between two chunks of it."""
+    sid, comp, sizes, chunk, paths = zip(*rows, strict=True)
     # Groups that links join in this task; a pair within one needs no comparison.
     up = {c: c for c in comp}
 
@@ -333,10 +368,14 @@ def _list_links(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return c
 
     into = [i for i in range(len(paths)) if chunk[i] == right]
-    tree = Tree([paths[i] for i in into], [sizes[i] for i in into]) if into else None
     out = []
-    for q in range(len(paths)) if tree else ():
-        if chunk[q] != left or len(up) == 1:
+    if not into or len(up) == 1:
+        return out
+    tree = Tree([paths[i] for i in into], [sizes[i] for i in into])
+    # Of two groups one is not the largest; within one chunk that one asks.
+    largest = Counter(comp).most_common(1)[0][0]
+    for q in range(len(paths)):
+        if chunk[q] != left or left == right and comp[q] == largest:
             continue
         other = lambda i: top(comp[into[i]]) != top(comp[q])  # noqa: B023, E731
         for i, overlap in tree.partners(np.sort(paths[q]), sizes[q], other):
@@ -344,7 +383,23 @@ def _list_links(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             if overlap * (100 + PERCENT) >= PERCENT * (sizes[q] + sizes[b]) and top(comp[b]) != top(comp[q]):
                 up[top(comp[b])] = top(comp[q])
                 out.append((sid[q], sid[b]))
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    return out
+
+
+def _list_links(batches):
+    """Lists whose rows follow each other in a partition, one in memory at a time."""
+    key, rows = None, []
+    for pdf in batches:
+        out = []
+        for tok, left, right, sid, comp, n, chunk, toks in pdf.itertuples(index=False):
+            if (tok, left, right) != key:
+                if rows:
+                    out += _joined(rows, *key[1:])
+                key, rows = (tok, left, right), []
+            rows.append((sid, comp, n, chunk, np.asarray(toks, np.int64)))
+        yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    if rows:
+        yield pd.DataFrame(_joined(rows, *key[1:]), columns=["a", "b"]).astype("int64")
 
 
 def list_links(entries: DataFrame, sets: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -356,7 +411,8 @@ def list_links(entries: DataFrame, sets: DataFrame, chunk: int = CHUNK) -> DataF
     met = rows.select("tok", "sid", "comp", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("with"))
     met = met.withColumns({"left": F.least("chunk", "with"), "right": F.greatest("chunk", "with")})
     met = met.join(s, "sid").select("tok", "left", "right", "sid", "comp", "n", "chunk", "toks")
-    return met.groupBy("tok", "left", "right").applyInPandas(_list_links, "a long, b long")
+    met = met.repartition(partitions(sets.sparkSession), "tok", "left", "right").sortWithinPartitions("tok", "left", "right")
+    return met.mapInPandas(_list_links, "a long, b long")
 
 
 def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -414,16 +470,21 @@ def _grouped_sets(sets: DataFrame, kept: scope) -> DataFrame:
     labels = sets.select("sid", F.col("sid").alias("comp"))
     one = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     need = lambda na, nb: F.ceil((na + nb) * PERCENT / (100.0 + PERCENT) - 1e-9)
-    for r in range(NARROW + WIDE + 1):
+    last = NARROW + WIDE
+    for r in range(last + 1):
         with scope(spark) as part:
             at = keep(post.join(labels, "sid"), "labelled")
             open_ = at.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.min_by(
-                F.struct("sid", "comp", "n", "pos"), F.xxhash64("sid", F.lit(r))).alias("rep")).filter("lo < hi")
+                F.struct("sid", "comp", "n", "pos"), F.xxhash64("sid", F.lit(min(r, last - 1)))).alias("rep")).filter("lo < hi")
             open_ = keep(open_, "open")
             if open_.isEmpty():
                 break
-            if r == NARROW + WIDE:
-                new = keep(list_links(at.join(open_.select("tok"), "tok", "left_semi"), sets), "links")
+            if r == last:
+                # The set that the round before compared with all others of its list is done.
+                left = keep(at.join(open_.select("tok", F.col("rep.sid").alias("done")), "tok").filter("sid <> done").drop("done"), "left")
+                several = left.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+                with scope(spark, batch=200):
+                    new = part.result(list_links(left.join(several, "tok", "left_semi"), sets), "links")
                 return kept.result(components(labels, new), "labels")
             pairs = at.join(open_, "tok").filter((F.col("comp") != F.col("rep.comp")) & _fits(F.col("n"), F.col("rep.n")))
             # The first shingle that two sets share leaves room for the whole overlap.
