@@ -1,16 +1,20 @@
 """Approximate nearest neighbours by inner product: inverted lists with an adaptive dimension scan.
 
-Vectors are turned by a random rotation and put in lists by their nearest centre. A query probes
-its best lists. Within a list the rotated dimensions are read in column blocks: after d of D
-dimensions the whole product is at most the partial one plus the product of the two lengths that
-are left, and a candidate leaves as soon as that is below the query's threshold. So no candidate
-that reaches the threshold is lost, copies of the query and those that set it among them; only the
-lists that are not probed can hold missed ones. Survivors are scored on the original vectors in
-double precision.
-
-Centres are fitted on at most SAMPLE vectors (the smallest by a hash of the id); every row is
-indexed. Defined results: see `vectors.clean`; only vectors of the most frequent dimension take
-part, ties to the smaller.
+Vectors are turned by a random rotation and put in lists by their nearest centre; the number of
+lists grows with the square root of the rows. A query probes the lists whose centres have the
+largest products with it. Within a list the rotated dimensions are read in column blocks: a product
+reaches the threshold t exactly if the distance to the query is at most
+r = sqrt(|q|^2 + |x|^2 - 2 t), and after d of D dimensions the distance is estimated by the partial
+one times sqrt(D / d). A candidate is abandoned when the estimate exceeds r by more than the part
+ERROR / sqrt(d). The error of the estimate is in proportion to the distance itself, so the test
+holds for near copies as well. Rows that set a threshold are in the query's list already and are
+not tested. Survivors are scored on the original vectors in double precision.
+
+Centres are fitted on at most SAMPLE vectors (the smallest by a hash); every row is indexed. Defined
+results: see `vectors.clean`; vectors only meet those of their own dimension; dimensions beyond the
+DIMS most frequent ones, or without a vector in the sample, are one list, scanned by every query;
+ties go to the smaller vec_id; a query without candidates, or an empty table, has no rows. Scores
+whose squares leave the double range are not defined.
 """
 
 import numpy as np
@@ -19,17 +23,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors as V
-from .common import keep, partitions
+from .common import keep, partitions, scope
 
-#: Vectors that centres are fitted on, at most.
+#: Vectors that centres are fitted on, and dimensions that get centres, at most.
 SAMPLE = 8192
-LISTS = 48
-#: Lists that a query probes. The test tables are almost isotropic, so few lists would miss much.
-PROBES = 36
+DIMS = 64
+#: Lists for the square root of the rows; at most MOST_LISTS, as many as the sample can tell apart.
+LISTS = 0.25
+MOST_LISTS = 512
+#: Part of the lists that a query probes. The test tables are almost isotropic, so few lists would miss much.
+PROBED = 0.75
 #: Dimensions of a column block; pairs are followed one by one when fewer than one in SPARSE are left.
 COLUMNS = 16
 SPARSE = 64
-#: Rounding of a product, as a part of the two lengths.
+#: The test's critical value: about three and a half standard deviations of the estimate.
+ERROR = 2.1
+#: Where no threshold is known yet, one of so many classes of a block is scored whole to set it.
+FIRST = 4
+#: Rounding of a squared distance, as a part of the squared lengths.
 SLACK = 1e-9
 
 
@@ -41,99 +52,140 @@ def centres(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
     """Lloyd's centres of the bounded sample."""
     c = sample[np.random.default_rng(11).permutation(len(sample))[:lists]].copy()
     for _ in range(rounds):
-        near = (sample @ c.T * 2 - (c * c).sum(1)).argmax(1)
+        near = nearest_centre(sample, c)
         for j in range(len(c)):
             if (near == j).any():
                 c[j] = sample[near == j].mean(0)
     return c
 
 
-def assign(rows: DataFrame, c: np.ndarray, probes: int) -> DataFrame:
-    """(grp, vec_id, v): each row with its nearest list, or its `probes` lists of largest product."""
+def nearest_centre(m: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (m @ c.T * 2 - (c * c).sum(1)).argmax(1)
+
+
+def fit(rows: DataFrame) -> dict[int, np.ndarray]:
+    """Centres by dimension, from a bounded sample of the classes."""
+    counted = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(DIMS).collect()
+    sample = rows.orderBy("h", F.col("ids")[0]).limit(SAMPLE).select("v").collect()
+    by: dict[int, list] = {}
+    for r in sample:
+        by.setdefault(len(r["v"]), []).append(r["v"])
+    many = lambda r: max(1, min(MOST_LISTS, int(LISTS * r["count"] ** 0.5)))
+    return {r["d"]: centres(np.array(by[r["d"]]), many(r)) for r in counted if r["d"] in by}
+
+
+def assign(rows: DataFrame, fitted: dict[int, np.ndarray]) -> DataFrame:
+    """(grp, lst, h, ids, v): each row with its dimension and its nearest list."""
 
     def run(batches):
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            m = np.stack(pdf["v"].to_numpy())
-            if probes == 0:
-                grp = (m @ c.T * 2 - (c * c).sum(1)).argmax(1)
-                yield pd.DataFrame({"grp": grp, "vec_id": pdf["vec_id"], "v": pdf["v"], "probe": 0})
-            else:
-                best = np.argsort(-(m @ c.T), axis=1, kind="stable")[:, :probes]
-                for j in range(best.shape[1]):
-                    yield pd.DataFrame({"grp": best[:, j], "vec_id": pdf["vec_id"], "v": pdf["v"], "probe": j})
-
-    return rows.mapInPandas(run, "grp long, vec_id long, v array<double>, probe int")
-
-
-def scan(turn: np.ndarray, k: int):
-    """The scorer: rotated column blocks, early exits, exact products for the rest."""
-
-    def run(qi, q, ci, c, theta):
-        dim = c.shape[1]
-        rq, rc = q @ turn, c @ turn
-        long_q, long_c = np.sqrt((q * q).sum(1)), np.sqrt((c * c).sum(1))
-        if len(ci) > 2 * k:  # a threshold of this list's own, from its first vectors
-            few = q @ c[:2 * k].T
-            few[qi[:, None] == ci[None, :2 * k]] = -np.inf
-            theta = np.maximum(theta, np.partition(few, few.shape[1] - k, axis=1)[:, few.shape[1] - k])
-        rest = lambda r, d: np.sqrt((r[:, d:] * r[:, d:]).sum(1))
-        part, a, b, s = np.zeros((len(q), len(c))), None, None, None
+            dims = pdf["v"].map(len).to_numpy(np.int64)
+            lst = np.zeros(len(pdf), np.int32)
+            for d in np.unique(dims):
+                at = np.nonzero(dims == d)[0]
+                if int(d) in fitted:
+                    lst[at] = nearest_centre(np.stack(pdf["v"].to_numpy()[at]), fitted[int(d)])
+            yield pd.DataFrame({"grp": dims, "lst": lst, "h": pdf["h"], "ids": pdf["ids"], "v": pdf["v"]})
+
+    return rows.select("h", "ids", "v").mapInPandas(run, "grp long, lst int, h long, ids array<long>, v array<double>")
+
+
+def probes(q: np.ndarray, c: np.ndarray | None, sizes: np.ndarray, k: int) -> np.ndarray:
+    """Which lists each query probes: the best PROBED of them, and more until they hold k classes."""
+    if c is None:
+        return np.ones((len(q), 1), bool)
+    order = np.argsort(-(q @ c.T), axis=1, kind="stable")
+    held = np.cumsum(sizes[order], axis=1) - sizes[order]
+    use = (np.arange(len(c)) < PROBED * len(c)) | (held < k)
+    mask = np.zeros_like(use)
+    np.put_along_axis(mask, order, use, axis=1)
+    return mask
+
+
+def scan(turn: np.ndarray, k: int, mask: np.ndarray, q: np.ndarray):
+    """Rotated column blocks of one list block, early exits by the test, exact products for the rest."""
+    dim = q.shape[1]
+    rq, qq = q @ turn, (q * q).sum(1)
+
+    def run(c, lst, theta):
+        rc, cc = c @ turn, (c * c).sum(1)
+        live = mask[:, lst]
+        sure = np.zeros(live.shape, bool)
+        first = max(2 * k, len(c) // FIRST)
+        if len(c) > first and not np.isfinite(theta).all():  # a threshold from the block's first classes
+            few = np.where(live[:, :first], q @ c[:first].T, -np.inf)
+            own = np.partition(few, first - k, axis=1)[:, first - k]
+            sure[:, :first] = few >= np.maximum(own, theta)[:, None] - SLACK * np.sqrt(qq)[:, None]
+            sure &= live
+            theta = np.maximum(theta, own)
+        room = qq[:, None] + cc[None, :]
+        reach = np.maximum(room - 2 * theta[:, None], 0) + SLACK * room
+        part, near_q, near_c = np.zeros(live.shape), np.zeros(len(q)), np.zeros(len(c))
+        a = b = s = None
         for d in range(0, dim, COLUMNS):
             e = min(d + COLUMNS, dim)
-            left_q, left_c = rest(rq, e), rest(rc, e)
+            near_q = near_q + (rq[:, d:e] ** 2).sum(1)
+            near_c = near_c + (rc[:, d:e] ** 2).sum(1)
+            # At the last column the estimate is the distance, and the test a comparison.
+            grow = 1.0 if e == dim else (1 + ERROR / np.sqrt(e)) ** 2 * e / dim
             if a is None:  # whole blocks until few pairs are left
                 part += rq[:, d:e] @ rc[:, d:e].T
-                most = np.column_stack([left_q, SLACK * long_q]) @ np.stack([left_c, long_c])
-                most += part
-                live = most >= theta[:, None]
+                live &= (near_q[:, None] + near_c - 2 * part <= grow * reach) | sure
                 if e == dim or np.count_nonzero(live) * SPARSE < live.size:
                     a, b = np.nonzero(live)
                     s = part[a, b]
             else:
-                s = s + _products(rq[:, d:e], rc[:, d:e], a, b)
-                live = s + left_q[a] * left_c[b] + SLACK * long_q[a] * long_c[b] >= theta[a]
-                a, b, s = a[live], b[live], s[live]
-        return a, b, _products(q, c, a, b)
+                s = s + products(rq[:, d:e], rc[:, d:e], a, b)
+                stay = (near_q[a] + near_c[b] - 2 * s <= grow * reach[a, b]) | sure[a, b]
+                a, b, s = a[stay], b[stay], s[stay]
+        return a, b, products(q, c, a, b)
 
     return run
 
 
-def _products(q: np.ndarray, c: np.ndarray, a: np.ndarray, b: np.ndarray, most: int = 1 << 16) -> np.ndarray:
+def products(q: np.ndarray, c: np.ndarray, a: np.ndarray, b: np.ndarray, most: int = 1 << 16) -> np.ndarray:
     """Inner products of the row pairs, each summed in the same order, some pairs at a time."""
     out = [np.einsum("ij,ij->i", q[a[i:i + most]], c[b[i:i + most]]) for i in range(0, len(a), most)]
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int, lists: int = LISTS, probes: int = PROBES) -> DataFrame:
-    """(query_id, rank, vec_id, score) for rows and queries of (vec_id, v)."""
-    n = partitions(rows.sparkSession)
-    dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if dims is None:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = dims["d"]
-    rows, queries = rows.filter(F.size("v") == dim), queries.filter(F.size("v") == dim)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
-    c = centres(np.array([r["v"] for r in sample]), lists)
-    listed = assign(rows, c, 0).withColumn("salt", F.xxhash64("vec_id"))
-    listed = listed.repartitionByRange(n, "grp", "salt").sortWithinPartitions("grp", "salt")
-    blocks = keep(V.pack(listed, V.BLOCK), "lists")
-    probed = keep(assign(queries, c, probes), "probes")
-    one = lambda df: V.pack(df.repartitionByRange(n, "grp", "vec_id").sortWithinPartitions("grp", "vec_id"), V.QUERIES)
-    scorer = scan(rotation(dim), k)
-    at = lambda df: df.select(F.col("block").alias("qblock"), "grp")
-    near = keep(one(probed.filter("probe = 0")), "near")
-    first = blocks.groupBy("grp").agg(F.max_by("block", "n").alias("block"))
-    start = V.score(V.meet(at(near).join(first, "grp"), near, blocks, n), scorer, k)
-    asked = keep(one(probed), "asked")
-    asked = keep(V.with_theta(asked, keep(start, "start"), k), "thresholds")
-    pairs = at(asked).join(blocks.select("grp", "block"), "grp")
-    return V.top(V.score(V.meet(pairs, asked, blocks, n), scorer, k), k)
+def search(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) for rows and queries as `vectors.clean` returns them."""
+    n, k1 = partitions(rows.sparkSession), k + 1  # one more: the query itself
+    held = keep(V.classes(rows, k1), "classes")
+    fitted = fit(held)
+    ranged = lambda df: df.repartitionByRange(n, "grp", "lst", "h").sortWithinPartitions("grp", "lst", "h")
+    listed = keep(assign(held, fitted), "listed")
+    wanted = F.col("grp").isin(list(fitted)) if fitted else F.lit(False)
+    sizes = {d: np.zeros(len(c), np.int64) for d, c in fitted.items()}
+    for r in listed.filter(wanted).groupBy("grp", "lst").count().collect():  # at most DIMS * MOST_LISTS
+        sizes[r["grp"]][r["lst"]] = r["count"]
+    blocks = keep(V.pack(ranged(listed)), "lists")
+    numbered = V.asked(queries)
+    asked = keep(V.pack(ranged(assign(numbered.withColumn("ids", F.array("q")), fitted))), "asked-blocks")
+
+    def probed(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                q = np.frombuffer(r.vecs, np.float64).reshape(r.n, -1)
+                mask = probes(q, fitted.get(r.grp), sizes.get(r.grp), k1)
+                near = np.bincount(np.frombuffer(r.lsts, np.int32), minlength=mask.shape[1])
+                use = np.nonzero(mask.any(0))[0]
+                yield pd.DataFrame({"qblock": r.block, "grp": r.grp, "lst": use.astype(np.int32), "prio": near[use]})
+
+    with scope(rows.sparkSession, batch=4) as few:
+        near = few.result(asked.mapInPandas(probed, "qblock string, grp long, lst int, prio long"), "probed")
+    has = blocks.select("block", "grp", F.explode("has").alias("lst"))
+    pairs = near.join(has, ["grp", "lst"]).groupBy("qblock", "block").agg(F.sum("prio").alias("prio"))
+
+    def scorer(q, dim):
+        return scan(rotation(dim), k1, probes(q, fitted.get(dim), sizes.get(dim), k1), q)
+
+    return V.answers(queries, numbered, V.retrieve(pairs, asked, blocks, scorer, k1, "double"), k)
 
 
 def embeddings_nearest(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """The k nearest found for each row whose vec_id is divisible by `every`."""
-    rows = keep(V.clean(embeddings, zero=False), "vectors")
-    found = search(rows, rows.filter(F.col("vec_id") % every == 0), k)
-    return found.select("query_id", "rank", "vec_id", "score")
+    with scope(embeddings.sparkSession) as tables:
+        rows = keep(V.clean(embeddings, zero=False), "vectors")
+        return tables.result(search(rows, rows.filter(F.col("vec_id") % every == 0), k), "nearest")

@@ -66,13 +66,14 @@ def op13_language_id(spark, sf):
 
 _TOPK_SQL = """
     WITH v AS (
-        SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
-        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+        SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
+        FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     s AS (
-        SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
-        FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
-    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+        SELECT q.row, q.vec_id AS query_id, c.vec_id, greatest(-9223372036854775807, least(9223372036854775807,
+            list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1]::HUGEINT * x[2]::HUGEINT))))::BIGINT AS score
+        FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.row <> c.row AND len(q.v) = len(c.v))
+    SELECT query_id, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
     FROM s QUALIFY rank <= 20"""
 
 

@@ -1,28 +1,38 @@
-"""Vectors in packed blocks: query blocks meet candidate blocks in tasks, and only near rows leave them.
+"""Vectors in packed blocks: a block of queries stays in its task while blocks of candidates stream past.
 
-A block is one row with at most BLOCK vectors of one group, as bytes, so that Spark moves and
-places blocks and numpy works on whole matrices.
+Equal vectors are one class, which carries its smallest row ids, one more than are asked for; a
+query class is answered once and its own row is taken out afterwards. So copies cost no pairs, and
+rows that share a vec_id stay separate rows.
+
+A block is one row with at most BLOCK classes of one dimension, as bytes, so that Spark moves and
+places blocks and numpy works on whole matrices. A task merges what it finds into one list for
+each query before anything leaves it.
 """
 
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most vectors of a candidate block and of a query block.
-BLOCK = 4096
-QUERIES = 1024
+from .common import keep, partitions, scope
+
+#: Most classes of a block of candidates and of a block of queries.
+BLOCK = 2048
+#: Blocks of candidates that one task takes past one block of queries.
+PART = 8
+#: Rows of one class of queries are spread over so many keys when they fetch their answer.
+SALTS = 4
 
-_SCHEMA = "block string, grp long, n int, hi double, ids binary, vecs binary"
+_PACKED = "block string, grp long, n int, hi double, has array<int>, lsts binary, cnts binary, ids binary, vecs binary"
 
 
 def clean(rows: DataFrame, zero: bool) -> DataFrame:
-    """(vec_id, v double array) of usable vectors, one row for each vec_id.
+    """(vec_id, v double array, h) of usable rows; a vec_id that comes more than once stays so many rows.
 
     Left out are null ids, null or empty vectors, those with null or non-finite components and,
-    unless `zero`, those of length zero. If a vec_id comes more than once its smallest vector counts.
+    unless `zero`, those of length zero. Other columns are ignored, whatever their names.
     """
     v = F.col("embedding").cast("array<double>")
     fit = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -30,107 +40,180 @@ def clean(rows: DataFrame, zero: bool) -> DataFrame:
         fit = fit & F.exists("v", lambda x: x != 0)
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).filter(fit)
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    # Adding zero makes the negative zero the positive one, as in comparisons.
+    return rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).withColumn("h", F.xxhash64("v"))
 
 
-def norm(v) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+def classes(rows: DataFrame, most: int) -> DataFrame:
+    """(h, v, ids): a row for each distinct vector with its `most` smallest vec_ids, repeats counted.
 
-
-def unpack(ids: bytes, vecs: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(vecs, np.float64).reshape(n, -1)
+    The rank filter cuts a class to `most` rows before the shuffle.
+    """
+    w = Window.partitionBy("h", "v").orderBy("vec_id")
+    first = rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= most)
+    return first.groupBy("h", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
-def pack(rows: DataFrame, most: int) -> DataFrame:
-    """Blocks of rows (grp, vec_id, v) that follow each other in a partition with the same grp."""
+def pack(rows: DataFrame) -> DataFrame:
+    """Blocks of rows (grp, lst, ids, v) that follow each other in a partition with the same grp."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         part, made = TaskContext.get().partitionId(), 0
-        grp, ids, vecs = None, [], []
+        grp, lsts, ids, vecs = None, [], [], []
 
         def block():
-            nonlocal made, ids, vecs
+            nonlocal made, lsts, ids, vecs
             m = np.ascontiguousarray(np.stack(vecs), dtype=np.float64)
             made += 1
-            out = pd.DataFrame([(f"{part}-{made}", grp, len(ids), float(np.sqrt((m * m).sum(1)).max()),
-                                 np.array(ids, np.int64).tobytes(), m.tobytes())],
-                               columns=["block", "grp", "n", "hi", "ids", "vecs"])
-            ids, vecs = [], []
+            out = pd.DataFrame([(f"{part}-{made}", grp, len(vecs), float(lengths(m).max()), sorted(set(lsts)),
+                                 np.array(lsts, np.int32).tobytes(), np.array([len(i) for i in ids], np.int32).tobytes(),
+                                 np.concatenate(ids).astype(np.int64).tobytes(), m.tobytes())],
+                               columns=["block", "grp", "n", "hi", "has", "lsts", "cnts", "ids", "vecs"])
+            lsts, ids, vecs = [], [], []
             return out
 
         for pdf in batches:
-            for g, i, v in zip(pdf["grp"].to_numpy(), pdf["vec_id"].to_numpy(), pdf["v"], strict=True):
-                if ids and (g != grp or len(ids) >= most):
+            for g, lst, i, v in zip(pdf["grp"].to_numpy(), pdf["lst"].to_numpy(), pdf["ids"], pdf["v"], strict=True):
+                if vecs and (g != grp or len(vecs) >= BLOCK):
                     yield block()
                 grp = int(g)
-                ids.append(i)
+                lsts.append(int(lst))
+                ids.append(np.asarray(i))
                 vecs.append(v)
-        if ids:
+        if vecs:
             yield block()
 
-    return rows.select("grp", "vec_id", "v").mapInPandas(run, _SCHEMA)
+    return rows.select("grp", "lst", "ids", "v").mapInPandas(run, _PACKED)
 
 
-def meet(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, n: int) -> DataFrame:
-    """Each (qblock, block) pair as one row with both contents, spread over n partitions."""
-    q = queries.select(F.col("block").alias("qblock"), F.col("n").alias("qn"), F.col("ids").alias("qids"),
-                       F.col("vecs").alias("qvecs"), *[c for c in queries.columns if c == "theta"])
-    both = pairs.select("qblock", "block").join(blocks.select("block", "n", "ids", "vecs"), "block").join(q, "qblock")
-    return both.repartition(n, "qblock", "block")
+def lengths(m: np.ndarray) -> np.ndarray:
+    """Row lengths, infinite only where the length itself leaves the double range."""
+    big = np.abs(m).max(1)
+    with np.errstate(over="ignore"):
+        unit = m / np.where(big > 0, big, 1)[:, None]
+        return big * np.sqrt((unit * unit).sum(1))
 
 
-Scorer = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: (vectors of a block of queries, their dimension) -> (vectors, lists, thresholds) -> row, column, score.
+Scorer = Callable[[np.ndarray, int], Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
 
-def score(met: DataFrame, scorer: Scorer, k: int) -> DataFrame:
-    """(query_id, vec_id, score): of each pair of blocks the k best rows of each query, own row excluded.
+def best(a: np.ndarray, tie: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best of each a: largest s first, then smallest tie."""
+    order = np.lexsort((tie, -s, a))
+    a = a[order]
+    return order[np.arange(len(a)) - np.searchsorted(a, a) < k]
 
-    scorer(query ids, queries, ids, vectors, theta) gives row, column and score of what may count.
+
+def stream(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, scorer: Scorer, k: int, kind: str) -> DataFrame:
+    """(qblock, pos, q, rank, vec_id, score, same): the k best rows of each query in each part of its pairs.
+
+    pairs: (qblock, part, turn, block), turns from 1. A task holds one block of queries, its lists and one
+    block of candidates; `same` says that the row's vector equals the query. kind: long or double scores.
     """
+    floor = -np.inf if kind == "double" else -2 ** 63 + 1
+    dtype = np.float64 if kind == "double" else np.int64
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                qi, q = unpack(r.qids, r.qvecs, r.qn)
-                ci, c = unpack(r.ids, r.vecs, r.n)
-                theta = np.frombuffer(r.theta, np.float64) if getattr(r, "theta", None) else np.full(len(qi), -np.inf)
-                a, b, s = scorer(qi, q, ci, c, theta)
-                other = qi[a] != ci[b]
-                a, b, s = a[other], b[other], s[other]
-                order = np.lexsort((ci[b], -s, a))
-                a, b, s = a[order], b[order], s[order]
-                first = np.searchsorted(a, a)
-                best = np.arange(len(a)) - first < k
-                yield pd.DataFrame({"query_id": qi[a[best]], "vec_id": ci[b[best]], "score": s[best]})
-
-    return met.mapInPandas(run, "query_id long, vec_id long, score double")
-
-
-def top(rows: DataFrame, k: int) -> DataFrame:
-    """The k best distinct rows of each query, ranked; ties go to the smaller vec_id."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def with_theta(queries: DataFrame, first: DataFrame, k: int) -> DataFrame:
-    """Query blocks with each query's k-th best score so far (minus infinity if it has fewer)."""
-    ranked = top(first, k).filter(F.col("rank") == k).select("query_id", "score")
-    ids = queries.mapInPandas(_ids, "block string, pos int, query_id long")
-    held = ids.join(ranked, "query_id", "left").groupBy("block").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "score"))).alias("t"))  # at most QUERIES entries
-
-    def join(batches):
-        for pdf in batches:
-            pdf["theta"] = [np.array([-np.inf if x["score"] is None else x["score"] for x in t]).tobytes() for t in pdf["t"]]
-            yield pdf.drop(columns="t")
-
-    return queries.join(held, "block").mapInPandas(join, _SCHEMA + ", theta binary")
+        at, held = None, None
 
+        def out():
+            a, i, s, same = held
+            rank = np.arange(len(a)) - np.searchsorted(a, a) + 1
+            return pd.DataFrame({"qblock": at[0], "pos": a.astype(np.int32), "q": keys[a], "rank": rank.astype(np.int32),
+                                 "vec_id": i, "score": s, "same": same})
 
-def _ids(batches):
-    for pdf in batches:
-        for r in pdf.itertuples(index=False):
-            i = np.frombuffer(r.ids, np.int64)
-            yield pd.DataFrame({"block": r.block, "pos": np.arange(len(i), dtype=np.int32), "query_id": i})
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                if r.turn == 0:
+                    if held is not None and len(held[0]):
+                        yield out()
+                    at, keys = (r.qblock, r.part), np.frombuffer(r.ids, np.int64)
+                    q = np.frombuffer(r.vecs, np.float64).reshape(r.n, -1)
+                    theta = np.full(r.n, floor, dtype)
+                    for x in () if r.held is None else r.held:
+                        theta[x["pos"]] = x["score"]
+                    found = scorer(q, q.shape[1])
+                    held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype), np.zeros(0, bool))
+                    continue
+                assert at == (r.qblock, r.part)
+                c = np.frombuffer(r.vecs, np.float64).reshape(r.n, -1)
+                cnts, ids = np.frombuffer(r.cnts, np.int32), np.frombuffer(r.ids, np.int64)
+                start = np.concatenate([[0], np.cumsum(cnts)])
+                a, b, s = found(c, np.frombuffer(r.lsts, np.int32), theta)
+                # The k best rows lie in the k best classes, by score and smallest id.
+                top = best(a, ids[start[b]], s, k)
+                a, b, s = a[top], b[top], s[top]
+                same = (q[a] == c[b]).all(1)
+                n = cnts[b]
+                of = np.repeat(np.arange(len(b)), n)
+                i = ids[start[b][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)]
+                all_ = [np.concatenate(x) for x in zip(held, (a[of], i, s[of], same[of]), strict=True)]
+                top = best(all_[0], all_[1], all_[2], k)
+                held = tuple(x[top] for x in all_)
+                rank = np.arange(len(top)) - np.searchsorted(held[0], held[0])
+                full = rank == k - 1
+                theta[held[0][full]] = np.maximum(theta[held[0][full]], held[2][full])
+        if held is not None and len(held[0]):
+            yield out()
+
+    cols = ["n", "lsts", "cnts", "ids", "vecs"]
+    asked = pairs.select("qblock", "part").distinct().join(
+        queries.select(F.col("block").alias("qblock"), *cols, "held"), "qblock").withColumn("turn", F.lit(0))
+    past = pairs.join(blocks.select("block", *cols), "block").drop("block")
+    met = asked.unionByName(past, allowMissingColumns=True)
+    met = met.repartition(partitions(pairs.sparkSession), "qblock", "part").sortWithinPartitions("qblock", "part", "turn")
+    return met.mapInPandas(run, f"qblock string, pos int, q long, rank int, vec_id long, score {kind}, same boolean")
+
+
+def retrieve(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, scorer: Scorer, k: int, kind: str) -> DataFrame:
+    """(q, best): each query's k best rows as a sorted array of (rank, vec_id, score, same).
+
+    pairs: (qblock, block, prio). The pair of largest prio gives thresholds; of the others those stay
+    whose product of largest lengths can reach one.
+    """
+    spark = pairs.sparkSession
+    turn = F.row_number().over(Window.partitionBy("qblock").orderBy(F.desc("prio"), "block")) - 1
+    pairs = keep(pairs.withColumn("turn", turn), "pairs")
+    none = queries.withColumn("held", F.lit(None).cast(f"array<struct<pos:int,score:{kind}>>"))
+    one = pairs.filter("turn = 0").select("qblock", F.lit(0).alias("part"), F.lit(1).alias("turn"), "block")
+    # Rows are blocks of megabytes here, so few of them go to a Python worker at once.
+    with scope(spark, batch=4) as few:
+        first = few.result(stream(one, none, blocks, scorer, k, kind), "first")
+    # At most BLOCK thresholds for one block of queries.
+    held = first.filter(F.col("rank") == k).groupBy(F.col("qblock").alias("block")).agg(
+        F.collect_list(F.struct("pos", "score")).alias("held"), F.count("*").alias("full"),
+        F.min("score").cast("double").alias("least"))
+    warm = keep(queries.join(held, "block", "left"), "warm")
+    reach = warm.select(F.col("block").alias("qblock"), F.col("hi").alias("qhi"),
+                        F.when(F.col("full") == F.col("n"), F.col("least")).alias("least"))
+    rest = pairs.filter("turn > 0").join(reach, "qblock").join(blocks.select("block", "hi"), "block")
+    most = F.col("qhi") * F.col("hi") * (1 + 1e-9) + 1e-9
+    rest = rest.filter(F.col("least").isNull() | (most >= F.col("least")) | F.isnan(most))
+    rest = rest.select("qblock", F.floor((F.col("turn") - 1) / PART).cast("int").alias("part"), "turn", "block")
+    with scope(spark, batch=4) as few:
+        more = few.result(stream(rest, warm, blocks, scorer, k, kind), "more")
+    cols = ["q", "score", "vec_id", "same"]
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    rows = first.select(cols).unionByName(more.select(cols)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return rows.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score", "same"))).alias("best"))
+
+
+def asked(queries: DataFrame) -> DataFrame:
+    """(q, h, v): the distinct vectors of the queries, numbered."""
+    return keep(queries.groupBy("h", "v").agg(F.count("*")).select(F.monotonically_increasing_id().alias("q"), "h", "v"), "asked")
+
+
+def answers(queries: DataFrame, numbered: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) of each query row: its class's list without the row itself."""
+    lists = numbered.join(found, "q").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("q")
+    salt = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+    rows = queries.withColumn("salt", salt).withColumnRenamed("vec_id", "query_id")
+    rows = rows.join(lists, ["h", "salt", "v"])
+    own = F.array_position(F.transform("best", lambda x: x["same"] & (x["vec_id"] == F.col("query_id"))), F.lit(True))
+    rows = rows.select("query_id", own.cast("int").alias("own"), F.explode("best").alias("x"))
+    rows = rows.filter(F.col("x.rank") != F.col("own"))
+    rank = F.col("x.rank") - F.when((F.col("own") > 0) & (F.col("x.rank") > F.col("own")), 1).otherwise(0)
+    return rows.select("query_id", rank.cast("int").alias("rank"), "x.vec_id", "x.score").filter(F.col("rank") <= k)

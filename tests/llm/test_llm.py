@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -230,41 +232,102 @@ def vectors(spark):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
 
 
-def best(ids, m, k):
-    out = {}
-    for i in np.nonzero(ids % 20 == 0)[0]:
-        s = m @ m[i]
-        out[int(ids[i])] = [(int(ids[j]), s[j]) for j in np.lexsort((ids, -s)) if j != i][:k]
+def brute(rows, k, product):
+    """Counted (query_id, rank, vec_id, score) over rows of (vec_id, vector): every row but the query's own."""
+    out = collections.Counter()
+    for n, (q, v) in enumerate(rows):
+        if q % 20 == 0:
+            found = sorted((-product(v, c), i) for m, (i, c) in enumerate(rows) if m != n and len(c) == len(v))[:k]
+            out.update((q, r, i, -s) for r, (s, i) in enumerate(found, 1))
     return out
 
 
 def usable(vectors, zero):
-    v = {}
-    for r in vectors.collect():
-        e = r["embedding"]
-        if r["vec_id"] is not None and e is not None and all(x is not None and np.isfinite(x) for x in e) and (zero or any(e)):
-            v[r["vec_id"]] = e
-    return np.array(sorted(v)), np.array([v[i] for i in sorted(v)], float)
+    got = [(r["vec_id"], r["embedding"]) for r in vectors.collect()]
+    return [(i, np.array(e, float)) for i, e in got if i is not None and e is not None
+            and all(x is not None and np.isfinite(x) for x in e) and (zero or any(e))]
 
 
-def test_exact_topk(vectors):
-    ids, m = usable(vectors, True)
-    want = best(ids, np.floor(m * 64), 20)
-    got = collections.defaultdict(list)
-    for r in sorted(topk.embeddings_top(vectors).collect(), key=lambda r: r["rank"]):
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    assert got == want and topk.embeddings_top(vectors.limit(0)).count() == 0
+def whole(x):
+    most = int(np.finfo(float).max)
+    return max(-most, min(most, math.floor(64 * Fraction(float(x)))))
+
+
+def whole_product(v, c):
+    s = sum(x * y for x, y in zip(v, c, strict=True))
+    return max(-2 ** 63 + 1, min(2 ** 63 - 1, s))
 
 
-def test_nearest_recall(vectors):
-    ids, m = usable(vectors, False)
-    want, got = best(ids, m, 20), collections.defaultdict(dict)
-    for r in nearest.embeddings_nearest(vectors).collect():
-        got[r["query_id"]][r["vec_id"]] = r["score"]
-    hit = [len({i for i, _ in want[q]} & set(got[q])) / 20 for q in want]
-    assert np.mean(hit) >= 0.9 and nearest.embeddings_nearest(vectors.limit(0)).count() == 0
-    at = {int(i): m[k] for k, i in enumerate(ids)}
-    assert all(abs(s - at[q] @ at[i]) < 1e-9 for q in got for i, s in got[q].items())
+def tuples(df):
+    return collections.Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in df.collect())
+
+
+def test_exact_topk(vectors):
+    assert tuples(topk.embeddings_top(vectors)) == brute([(i, [whole(x) for x in v]) for i, v in usable(vectors, True)], 20, whole_product)
+    assert topk.embeddings_top(vectors.limit(0)).count() == 0
+
+
+def test_exact_topk_of_large_components(spark):
+    """Sums beyond 2^53 and beyond a long, several dimensions, repeated ids, a column named like ours."""
+    g = np.random.default_rng(31)
+    rows = [(i, g.uniform(5e5, 1e6, 64).round()) for i in range(120)] + [(40, g.uniform(5e5, 1e6, 64)) for _ in range(3)]
+    rows += [(200 + i, s * g.normal(size=8)) for i, s in enumerate([1e7, 3e8, 1e9, 1e10, 1e155, 1e300, 1.7e308 / 8, 1e-300] * 6)]
+    rows += [(300 + i, np.array([1e300, 1.0, -1e300 * (i % 2), float(i)])) for i in range(41)]
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in rows], "vec_id long, embedding array<double>, rank int").repartition(3)
+    assert tuples(topk.embeddings_top(df)) == brute([(i, [whole(x) for x in v]) for i, v in rows], 20, whole_product)
+
+
+def test_exact_topk_sql(spark, tmp_path):
+    import duckdb
+
+    from lodestone.llm.queries import _TOPK_SQL
+    g = np.random.default_rng(32)
+    rows = [(i // 2, g.uniform(-1e6, 1e6, 16).tolist()) for i in range(90)] + [(20, [1.0] * 3), (40, [2.0] * 3), (60, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df.coalesce(1).write.parquet(str(tmp_path / "e"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+    assert collections.Counter(con.sql(_TOPK_SQL).fetchall()) == tuples(topk.embeddings_top(df))
+
+
+def recall(rows, df, k=20):
+    got = collections.defaultdict(set)
+    for r in df.collect():
+        got[r["query_id"]].add(r["vec_id"])
+    ids, m = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    hits = []
+    for n in np.nonzero(ids % 20 == 0)[0]:
+        s = m @ m[n]
+        s[n] = -np.inf
+        hits.append(len(set(ids[np.lexsort((ids, -s))[:k]].tolist()) & got[int(ids[n])]) / k)
+    return np.mean(hits)
+
+
+def test_nearest_recall(spark):
+    """Isotropic and clustered vectors of several lists; scores are those of the original vectors."""
+    g = np.random.default_rng(33)
+    flat = g.normal(size=(4000, 32))
+    middles = g.normal(size=(40, 32)) * 3
+    heaps = middles[g.integers(0, 40, 4000)] + g.normal(size=(4000, 32)) * g.uniform(0.01, 1, (4000, 1))
+    for m in (flat / np.sqrt((flat * flat).sum(1))[:, None], flat, heaps):
+        rows = list(enumerate(m))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>").repartition(4)
+        found = nearest.embeddings_nearest(df)
+        assert recall(rows, found) >= 0.9 and found.count() == 200 * 20
+        assert all(abs(r["score"] - m[r["query_id"]] @ m[r["vec_id"]]) < 1e-9 for r in found.limit(500).collect())
+
+
+def test_nearest_of_odd_rows(spark, vectors):
+    """Few rows are one list, so all are found: repeated ids, copies, several dimensions, empty tables."""
+    got, want = tuples(nearest.embeddings_nearest(vectors)), brute(usable(vectors, False), 20, np.dot)
+    assert sum(got.values()) == sum(want.values()) and len({(q, i) for q, _, i, _ in got} & {(q, i) for q, _, i, _ in want}) >= 0.9 * len(want)
+    assert nearest.embeddings_nearest(vectors.limit(0)).count() == 0
+    g = np.random.default_rng(34)
+    rows = [(i, g.normal(size=8)) for i in range(40)] + [(100 + i, g.normal(size=3)) for i in range(5)] + [(20, g.normal(size=8))] * 2
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
+    got, want = tuples(nearest.embeddings_nearest(df)), brute(rows, 20, np.dot)
+    assert collections.Counter(x[:3] for x in got.elements()) == collections.Counter(x[:3] for x in want.elements())
+    assert sum(n for x, n in got.items() if x[0] == 100) == 4
 
 
 def test_nearest_finds_copies(spark):
@@ -272,11 +335,6 @@ def test_nearest_finds_copies(spark):
     r = np.random.default_rng(21)
     m = r.normal(size=(200, 64))
     m /= np.sqrt((m * m).sum(1))[:, None]
-    scorer = nearest.scan(nearest.rotation(64), 20)
-    for v in m:
-        for size in (1.0, 1e6):
-            a, b, s = scorer(np.array([-1]), size * v[None], np.arange(100), np.repeat(size * v[None], 100, 0), np.array([size * v @ (size * v)]))
-            assert list(b) == list(range(100)) and len(set(s)) == 1
     rows = [(100 * i + j, v.tolist()) for i, v in enumerate(m[:60]) for j in range(100)]
     got = collections.defaultdict(list)
     for x in nearest.embeddings_nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50).orderBy("query_id", "rank").collect():
@@ -286,14 +344,24 @@ def test_nearest_finds_copies(spark):
         assert found == [i for i in range(q // 100 * 100, q // 100 * 100 + 21) if i != q][:20]
 
 
-def test_nearest_scan_loses_nothing():
-    """All pairs that reach the threshold leave the scan, whatever the lengths."""
+def test_nearest_scan():
+    """The test keeps near-parallel vectors at any length and nearly all others that reach the threshold."""
     r = np.random.default_rng(22)
-    q, c = r.normal(size=(50, 40)), r.normal(size=(3000, 40)) * r.uniform(0.1, 5, (3000, 1))
-    theta = np.sort(q @ c.T, 1)[:, -20]
-    a, b, _ = nearest.scan(nearest.rotation(40), 20)(np.arange(50), q, np.arange(100, 3100), c, theta)
-    want = {(i, j) for i, j in zip(*np.nonzero(q @ c.T >= theta[:, None]), strict=True)}
-    assert want <= set(zip(a.tolist(), b.tolist(), strict=True))
+    turn, one = nearest.rotation(64), lambda q, c: np.ones((len(q), 1), bool)
+    for size, noise, part in ((1.0, 1e-7, 1), (1e6, 1e-7, 1), (1.0, 0.01, 0.98)):
+        q = size * r.normal(size=(30, 64))
+        c = np.repeat(q, 100, 0) * (1 + noise * r.normal(size=(3000, 64)))
+        theta = np.sort(q @ c.T, 1)[:, -50]
+        a, b, _ = nearest.scan(turn, 20, one(q, c), q)(c, np.zeros(3000, int), theta)
+        want = {(i, j) for i, j in zip(*np.nonzero(q @ c.T >= theta[:, None]), strict=True)}
+        assert len(want & set(zip(a.tolist(), b.tolist(), strict=True))) >= part * len(want)
+    q, c = r.normal(size=(50, 64)), r.normal(size=(3000, 64)) * r.uniform(0.1, 5, (3000, 1))
+    s = q @ c.T
+    theta = np.sort(s, 1)[:, -20]
+    a, b, _ = nearest.scan(turn, 20, one(q, c), q)(c, np.zeros(3000, int), theta)
+    want = {(i, j) for i, j in zip(*np.nonzero(s >= theta[:, None]), strict=True)}
+    found = set(zip(a.tolist(), b.tolist(), strict=True))
+    assert len(want & found) >= 0.98 * len(want) and len(found) < 2 * len(want)
 
 
 def test_html(spark):
