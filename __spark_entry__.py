@@ -364,6 +364,18 @@ def config_stack_paths(spark, sf):
     return _trade_graph(spark, sf).stack_paths
 
 
+def config_instances(spark, sf):
+    g, planned = _trade_graph(spark, sf), T.trade_instances(spark, sf)
+    found = instances.instances_of(g.nodes, g.planned_paths(planned), planned)
+    return found.select("node_key", "stack", "address", "index_key")
+
+
+def config_paths_into(spark, sf):
+    wanted = T.table(spark, sf, "customer").filter("c_acctbal < 0").selectExpr(
+        "concat('customers/c', c_custkey) AS module_dir")
+    return _trade_graph(spark, sf).paths_into(wanted)
+
+
 def config_orphans(spark, sf):
     g = _trade_graph(spark, sf)
     return orphans.orphans(g.nodes, g.edges, g.roots).select("node_key", "reason")
@@ -456,7 +468,8 @@ _QUERIES = [
     excerpt, node_counts, edge_counts, graph_totals, unresolved_refs, refs_by_address, refs_by_name, refs_by_type,
     declarations, impact_dependents, impact_dependencies, impact_summary, module_usage, module_versions,
     module_filter, module_first_sites, star_orphans, instances_of, instance_actions, roots, owning_stacks,
-    stack_paths, local_targets, config_nodes, config_edges, config_roots, config_stack_paths, config_orphans,
+    stack_paths, local_targets, config_nodes, config_edges, config_roots, config_stack_paths, config_instances,
+    config_paths_into, config_orphans,
     config_modules, config_impact, overlay_instances, overlay_sources, overlay_failures, overlay_pick,
     uncovered_roots, json_index, module_address_split, budget_prefix, budget_greedy, fingerprint, counts_sorted,
 ]

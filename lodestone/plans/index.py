@@ -44,8 +44,8 @@ class Index:
         """Every node's instances, or None without a usable overlay."""
         if self.overlay is None or not self.overlay.is_available():
             return None
-        return keep(
-            instances.instances_of(self.graph.nodes, self.graph.stack_paths, self.overlay.instances), "node-instances")
+        paths = self.graph.planned_paths(self.overlay.instances)
+        return keep(instances.instances_of(self.graph.nodes, paths, self.overlay.instances), "node-instances")
 
     def unavailable_reason(self) -> str:
         return self.reason if self.overlay is None else self.overlay.unavailable_reason()
@@ -76,7 +76,10 @@ class Index:
         return self.instances.join(nodes.select("node_key"), "node_key", "left_semi")
 
     def views(self, prefix: str = "") -> None:
-        """Register nodes, edges, roots, stack_paths (and instances) for spark.sql."""
+        """Register nodes, edges, roots, stack_paths (and instances) for spark.sql.
+
+        This lists every module path; `graph.planned_paths` and `graph.paths_into` do not.
+        """
         tables = {"nodes": self.graph.nodes, "edges": self.graph.edges, "roots": self.graph.roots,
                   "stack_paths": self.graph.stack_paths, "instances": self.instances}
         for name, df in tables.items():

@@ -366,3 +366,24 @@ def line_instances(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     )
     paths = instances.select("stack", "module_address").distinct().withColumn("module_dir", F.lit("supply"))
     return instances, paths
+
+
+def trade_instances(spark: SparkSession, folder: str) -> DataFrame:
+    """Planned instances of the configuration that trade_files writes: customers, their orders, their modules."""
+    customers = table(spark, folder, "customer").selectExpr(
+        f"concat('nations/n', {_id('c_nationkey')}) AS stack", f"concat('module.c', {_id('c_custkey')}) AS called",
+        "c_custkey AS o_custkey", "c_acctbal")
+    rest = ("array('update') AS actions", "'' AS action_reason", "'' AS inst_seq")
+    modules = customers.selectExpr(
+        "stack", "'' AS module_address", "called AS config_address", "called AS address", "'' AS index_key", *rest)
+    inside = customers.selectExpr(
+        "stack", "called AS module_address", "explode(IF(c_acctbal < 0, array('0', '1'), array(''))) AS index_key",
+        "'customer.this' AS config_address",
+    ).selectExpr(
+        "stack", "module_address", "config_address",
+        "concat(module_address, '.customer.this', IF(index_key = '', '', concat('[', index_key, ']'))) AS address",
+        "index_key", *rest)
+    orders = table(spark, folder, "orders").join(customers, "o_custkey").selectExpr(
+        "stack", "called AS module_address", f"concat('orders.o', {_id('o_orderkey')}) AS config_address",
+        f"concat(called, '.orders.o', {_id('o_orderkey')}) AS address", "'' AS index_key", *rest)
+    return modules.unionByName(inside).unionByName(orders)

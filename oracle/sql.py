@@ -388,6 +388,15 @@ def all_sql() -> dict[str, str]:
         "config_stack_paths": """SELECT 'nations/n' || n_nationkey AS module_dir, 'nations/n' || n_nationkey AS stack,
             '' AS module_address FROM nation UNION ALL SELECT 'customers/c' || c_custkey, 'nations/n' || c_nationkey,
             'module.c' || c_custkey FROM customer""",
+        "config_instances": """SELECT 'nations/n' || c_nationkey || '|module.c' || c_custkey AS node_key,
+            'nations/n' || c_nationkey AS stack, 'module.c' || c_custkey AS address, '' AS index_key FROM customer
+            UNION ALL SELECT 'customers/c' || c_custkey || '|customer.this', 'nations/n' || c_nationkey,
+            'module.c' || c_custkey || '.customer.this' || CASE WHEN i = '' THEN '' ELSE '[' || i || ']' END, i
+            FROM customer, unnest(CASE WHEN c_acctbal < 0 THEN ['0', '1'] ELSE [''] END) AS t(i)
+            UNION ALL SELECT 'customers/c' || c_custkey || '|orders.o' || o_orderkey, 'nations/n' || c_nationkey,
+            'module.c' || c_custkey || '.orders.o' || o_orderkey, '' FROM orders JOIN customer ON c_custkey = o_custkey""",
+        "config_paths_into": """SELECT 'customers/c' || c_custkey AS module_dir, 'nations/n' || c_nationkey AS stack,
+            'module.c' || c_custkey AS module_address FROM customer WHERE c_acctbal < 0""",
         "config_orphans": """SELECT 'customers/c' || c_custkey || '|var.segment' AS node_key,
             'declared and wired up by callers, but never read inside this module' AS reason FROM customer""",
         "config_modules": """SELECT 'registry/market/core' AS source, count(DISTINCT n_nationkey % 3)::BIGINT AS n_versions,
