@@ -9,27 +9,34 @@ from ..functions import scoring as S
 from ..operators import counts, explore, impact, instances, lookup, modules, orphans
 from ..operators.corpus import Corpus
 from ..operators.postings import PostingIndex
-from ..runtime import cut, keep
+from ..runtime import cut, generation, keep, owned_by
 from ..sources import overlay as ov
 from .load import Graph
 
 
 class Index:
-    """A graph, its term statistics, and optionally an overlay. Never changed once built."""
+    """A graph, its term statistics, and optionally an overlay. Never changed once built.
+
+    `facts` owns the overlay's tables as `graph.tables` owns the graph's. An Index holds both, so its
+    DataFrames can be read for as long as the Index itself is referred to.
+    """
 
     def __init__(self, spark: SparkSession, graph: Graph, overlay: ov.Overlay | None = None,
-                 reason: str = ov.NOT_SUPPLIED, postings: PostingIndex | None = None):
-        self.spark, self.graph, self.overlay, self.reason = spark, graph, overlay, reason
-        self.postings = postings or PostingIndex.build(graph.nodes)
+                 reason: str = ov.NOT_SUPPLIED, postings: PostingIndex | None = None, facts: generation | None = None):
+        self.spark, self.graph, self.overlay, self.reason, self.facts = spark, graph, overlay, reason, facts
+        with owned_by(graph.tables):
+            self.postings = postings or PostingIndex.build(graph.nodes)
+        for tables in filter(None, (graph.tables, facts)):
+            tables.hold(self)
 
     @property
     def corpus(self) -> Corpus:
         """Every node's terms, for statistics over all of them."""
         return Corpus.build(self.graph.nodes)
 
-    def with_overlay(self, overlay: ov.Overlay | None) -> "Index":
+    def with_overlay(self, overlay: ov.Overlay | None, facts: generation | None = None) -> "Index":
         """The same configuration with other plan facts; its postings are shared."""
-        return Index(self.spark, self.graph, overlay, ov.NONE_FOUND, self.postings)
+        return Index(self.spark, self.graph, overlay, ov.NONE_FOUND, self.postings, facts)
 
     @cached_property
     def root_dirs(self) -> list[str]:
@@ -45,7 +52,8 @@ class Index:
         if self.overlay is None or not self.overlay.is_available():
             return None
         paths = self.graph.planned_paths(self.overlay.instances)
-        return keep(instances.instances_of(self.graph.nodes, paths, self.overlay.instances), "node-instances")
+        with owned_by(self.facts):
+            return keep(instances.instances_of(self.graph.nodes, paths, self.overlay.instances), "node-instances")
 
     def unavailable_reason(self) -> str:
         return self.reason if self.overlay is None else self.overlay.unavailable_reason()
@@ -61,7 +69,9 @@ class Index:
         return decls, lookup.references(self.graph.keyed, decls)
 
     def impact(self, address: str, direction: str = "dependents", depth: int = impact.DEFAULT_DEPTH):
-        return impact.impact(self.graph.keyed, address, direction, depth)
+        graph = self.graph.keyed
+        with owned_by(self.graph.tables):  # an answer goes with its snapshot
+            return impact.impact(graph, address, direction, depth)
 
     def modules(self, filter_text: str = "") -> DataFrame:
         return modules.module_usage(self.graph.nodes, filter_text)

@@ -3,6 +3,7 @@
 import contextlib
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,20 +68,21 @@ def keep(df: DataFrame, name: str, partition_by: str | None = None, group_bytes:
 
     Unlike a checkpoint the table is columnar: a query reads only its columns, filters reach
     the files, and Spark knows the size when it chooses a join. The folder is the
-    application's own, below spark.checkpoint.dir. Inside a `scope` the table goes with it.
+    application's own, below spark.checkpoint.dir. Inside a `scope` or a `generation` the table goes with it.
 
     A sorted table that is looked up by key has small row groups (group_bytes), so that a pushed
     filter reads few of them; partition_by names a folder column that filters prune by.
     """
-    return _keep(df, name, _scopes[-1] if _scopes else None, partition_by, group_bytes)
+    return _keep(df, name, owner(), partition_by, group_bytes)
 
 
-def _keep(df: DataFrame, name: str, owner: "scope | None", partition_by: str | None = None, group_bytes: int | None = None) -> DataFrame:
+def _keep(df: DataFrame, name: str, within: "scope | generation | None", partition_by: str | None = None,
+          group_bytes: int | None = None) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    if owner:
-        owner.folders.append(path)
+    if within:
+        within.folders.append(path)
     writer = df.write
     if group_bytes:
         # Pages have to be small as well: the writer looks at a group's size once a page.
@@ -118,7 +120,60 @@ def numbered(df: DataFrame, order: list, name: str) -> tuple[DataFrame, int]:
     return ranged.withColumn("no", row + F.get(F.lit(before).cast("array<long>"), part)).drop("_row"), total
 
 
-_scopes: list["scope"] = []
+_scopes: list["scope | generation"] = []
+_dropped: list["generation"] = []
+
+
+class generation:
+    """Kept tables of one snapshot, which outlive the block that wrote them.
+
+    `building` makes it the owner of what is kept inside a block; `hold` counts an object among its
+    holders. Once the last holder is gone the tables wait for the next `sweep`: nothing is deleted
+    from inside garbage collection, which may interrupt any call.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders, self._holders = spark, [], 0
+
+    @contextlib.contextmanager
+    def building(self):
+        _scopes.append(self)
+        try:
+            yield self
+        finally:
+            _scopes.remove(self)
+
+    def hold(self, holder) -> None:
+        self._holders += 1
+        weakref.finalize(holder, self._let_go).atexit = False
+
+    def _let_go(self) -> None:
+        self._holders -= 1
+        if not self._holders:
+            self.drop()
+
+    def drop(self) -> None:
+        _dropped.append(self)
+
+
+def owner() -> "scope | generation | None":
+    """What owns the tables kept at this moment."""
+    return _scopes[-1] if _scopes else None
+
+
+def owned_by(tables: "generation | None"):
+    """A block whose kept tables belong to a generation, if there is one."""
+    return tables.building() if tables else contextlib.nullcontext()
+
+
+def sweep() -> None:
+    """Delete the tables of dropped generations; those of a stopped session are left to its folder."""
+    while _dropped:
+        gone = _dropped.pop()
+        if gone.spark.sparkContext._jsc is None:
+            continue
+        for path in gone.folders:
+            remove(gone.spark, path)
 
 
 class scope(contextlib.AbstractContextManager):

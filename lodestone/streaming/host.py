@@ -4,6 +4,7 @@ There is no event stream to follow: like the tool it replaces, the host polls. T
 kept apart because plans change far more often than configuration and cost far less to read.
 """
 
+import contextlib
 import os
 import threading
 
@@ -13,11 +14,16 @@ from pyspark.sql import functions as F
 from ..operators.counts import fingerprint
 from ..plans.index import Index
 from ..plans.load import load
+from ..runtime import generation, sweep
 from ..sources import overlay, tree
 
 
 class Host:
-    """Call current() before each question; it returns a coherent Index."""
+    """Call current() before each question; it returns a coherent Index.
+
+    A superseded Index stays readable while somebody refers to it. The tables of one that nobody
+    refers to are deleted by the next call that rebuilds, or by close().
+    """
 
     def __init__(self, spark: SparkSession, repo_root: str, plan: str = ""):
         self.spark, self.plan = spark, plan
@@ -49,11 +55,21 @@ class Host:
             found = self._locate(files)
             overlay_stamp = self._stamp(found, size=True)
             if stale or overlay_stamp != self._overlay_stamp:
-                self._index = self._index.with_overlay(self._overlay(found))
+                facts = generation(self.spark)
+                with _dropped_on_error(facts), facts.building():
+                    read = self._overlay(found)
+                self._index = self._index.with_overlay(read, facts)
                 self._overlay_stamp = overlay_stamp
                 self.overlay_builds += 1
+                sweep()
             return self._index
 
+    def close(self) -> None:
+        """Let the snapshot go; the next current() builds a new one."""
+        with self._lock:
+            self._index = self._config_stamp = self._overlay_stamp = None
+            sweep()
+
     def explicit_plan_error(self) -> Exception | None:
         """Why the plan specification cannot be used, for a caller to report."""
         if not self.plan or self._index is None:
@@ -68,7 +84,9 @@ class Host:
         texts = tree.read_text(tree.configuration(files).select("module_dir", "file"), self.repo_root).persist()
         try:
             unread = texts.filter("error IS NOT NULL").select("file", F.lit(0).alias("ord"), "error")
-            return Index(self.spark, load(texts.fillna("", ["content"]), unread))
+            made = generation(self.spark)
+            with _dropped_on_error(made), made.building():
+                return Index(self.spark, load(texts.fillna("", ["content"]), unread))
         finally:
             texts.unpersist()
 
@@ -98,3 +116,13 @@ class Host:
         full = F.when(F.col("path").startswith("/"), F.col("path")).otherwise(
             F.concat(F.lit(self.repo_root.rstrip("/") + "/"), "path"))
         return overlay.build(read.withColumn("source", full))
+
+
+@contextlib.contextmanager
+def _dropped_on_error(made: generation):
+    """What a failed build has written goes with the next sweep."""
+    try:
+        yield
+    except Exception:
+        made.drop()
+        raise

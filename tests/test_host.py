@@ -2,6 +2,8 @@
 
 import json
 import os
+from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -157,3 +159,32 @@ def test_listing_matches_the_tree(spark, tmp_path):
         assert {r["file"] for r in tree.configuration(listed).collect()} == set(files) | {"_h.tf"}
         assert {r["module_dir"] for r in tree.variable_dirs(listed).collect()} == {"v", "w"}
         assert listed.count() == 16  # the link counts as a file and is not followed
+
+
+def test_superseded_snapshots_go_when_nobody_holds_them(spark, tmp_path):
+    def tables():
+        kept = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+        return {p.name for p in kept.iterdir() if (p / "_SUCCESS").exists()}
+
+    before = tables()
+    write_tree(tmp_path, {"main.tf": 'variable "a" {}\nresource "berth" "tug" { from = var.a }\n', "plan.json": plan()})
+    host = Host(spark, str(tmp_path))
+
+    def ask():
+        index = host.current()
+        assert index.instances.count() == 1 and index.graph.keyed
+        return index
+
+    held = ask()
+    first = tables() - before
+    write_tree(tmp_path, {"more.tf": 'variable "b" {}\n'})
+    ask()  # nobody keeps this one
+    assert first <= tables() and held.graph.nodes.filter("kind = 'variable'").count() == 1
+    held = None
+    write_tree(tmp_path, {"last.tf": 'variable "z" {}\n'})
+    ask()
+    left = tables() - before
+    assert not left & first and host.builds == 3
+    assert Counter(n.rpartition("-")[0] for n in left) == Counter(n.rpartition("-")[0] for n in first)
+    host.close()
+    assert not tables() - before
