@@ -24,28 +24,23 @@ def fill(df: DataFrame, order: list, cost: str, limit: int) -> tuple[list[Row],
     """(kept rows, number dropped): greedy in order, skipping rows that do not fit.
 
     `order` names columns that together are unique and sort ascending. A later, smaller row
-    may still fit, so a prefix sum would be wrong. Each round asks Spark for the next rows
-    that can fit at all, no more than the remaining budget can hold; the rest of the table
-    never leaves the executors. Every round but the last keeps a row, and costs are positive.
+    may still fit, so a prefix sum would be wrong. Once a row of some cost is skipped, all later
+    rows of that cost are: the budget only shrinks. So of each cost c the first limit // c rows
+    are all that can be kept, and one job fetches them, at most limit * (1 + ln limit) rows
+    however many there are. Costs are positive; others and nulls are refused.
     """
-    total = df.count()
-    position = F.struct(*[F.col(c) for c in order])
-    left, kept, last = limit, [], None
-    while left > 0:
-        fitting = df.filter(F.col(cost) <= left)
-        if last is not None:
-            reached = F.struct(*[F.lit(last[c]).cast(df.schema[c].dataType).alias(c) for c in order])
-            fitting = fitting.filter(position > reached)
-        least = fitting.agg(F.min(cost)).first()[0]
-        if least is None:
-            break
-        # The longest run that could be kept if every row cost the least.
-        batch = fitting.orderBy(*order).limit(left // max(int(least), 1) + 1).collect()
-        for row in batch:
-            last = row
-            if row[cost] <= left:
-                left -= row[cost]
-                kept.append(row)
+    total, _ = _bounds(df, cost, F.lit(0))
+    if limit <= 0 or not total:
+        return [], total
+    place = F.row_number().over(W.partitionBy(cost).orderBy(*order))
+    # The constant bound lets Spark cut each cost's rows before the shuffle.
+    candidates = df.filter(F.col(cost) <= limit).withColumn("_place", place).filter(F.col("_place") <= limit)
+    candidates = candidates.filter(F.col("_place") <= F.floor(F.lit(limit) / F.col(cost))).drop("_place")
+    left, kept = limit, []
+    for row in candidates.orderBy(*order).collect():
+        if row[cost] <= left:
+            left -= row[cost]
+            kept.append(row)
     return kept, total - len(kept)
 
 
@@ -53,34 +48,42 @@ def fill_grouped(
     df: DataFrame, order: list, cost: str, group: str, header: str, limit: int
 ) -> tuple[list[Row], int]:
     """Like fill, for rows listed under headings: a row whose group was not the last one kept
-    also pays for its heading (`header`).
+    also pays for its heading (`header`). `order` starts with the group, which is not null.
 
-    While the budget exceeds the dearest row everything fits and rows come in batches. After
-    that, what fits depends on the last heading printed, so the next fitting row is asked
-    for one at a time; the budget left is then less than one row can cost.
+    A group can only be begun by a row that fits with its heading, so rows before the first such
+    row of their group are left out. The next row of what remains always fits; a round fetches as
+    many as the budget could hold and folds them in order, so one very dear row costs no round.
+    Each round keeps at least one row; more than a few are needed only where costs are arranged
+    so that nearly every fetched row stops fitting within its round.
     """
-    bounds = df.agg(
-        F.count("*").alias("n"), F.min(cost).alias("least"), F.max(F.col(cost) + F.col(header)).alias("most")
-    ).first()
+    total, least = _bounds(df, cost, F.col(header))
     position = F.struct(*[F.col(c) for c in order])
     left, kept, last = limit, [], None
-    while bounds["n"] and left > 0:
-        current = F.lit(kept[-1][group] if kept else None)
-        fitting = df.filter(
-            (F.col(cost) + F.col(header) <= left) | ((F.col(group) == current) & (F.col(cost) <= left))
-        )
+    while total and left > 0:
+        fitting = df.filter(F.col(cost) <= left)
         if last is not None:
             reached = F.struct(*[F.lit(last[c]).cast(df.schema[c].dataType).alias(c) for c in order])
             fitting = fitting.filter(position > reached)
-        size = left // max(int(bounds["least"]), 1) + 1 if left >= bounds["most"] else 1
-        batch = fitting.orderBy(*order).limit(size).collect()
+        begun = F.when(F.col(cost) + F.col(header) <= left, position)
+        if kept:
+            begun = F.when(F.col(group) == F.lit(kept[-1][group]), position).otherwise(begun)
+        first = fitting.groupBy(F.col(group).alias("_group")).agg(F.min(begun).alias("_first"))
+        fitting = fitting.join(first, F.col(group) == F.col("_group")).filter(position >= F.col("_first"))
+        batch = fitting.drop("_group", "_first").orderBy(*order).limit(left // least + 1).collect()
         if not batch:
             break
-        for i, row in enumerate(batch):
-            if i and left < bounds["most"]:
-                break
-            headed = not kept or kept[-1][group] != row[group]
-            left -= row[cost] + (row[header] if headed else 0)
-            kept.append(row)
+        for row in batch:
             last = row
-    return kept, bounds["n"] - len(kept)
+            charge = row[cost] + (row[header] if not kept or kept[-1][group] != row[group] else 0)
+            if charge <= left:
+                left -= charge
+                kept.append(row)
+    return kept, total - len(kept)
+
+
+def _bounds(df: DataFrame, cost: str, header) -> tuple[int, int]:
+    """(rows, least cost) of rows that all cost something."""
+    n, priced, least, heading = df.agg(F.count("*"), F.count(cost), F.min(cost), F.min(header)).first()
+    if n and (priced < n or least <= 0 or heading is None or heading < 0):
+        raise ValueError(f"every row needs a positive {cost}")
+    return n, int(least or 0)

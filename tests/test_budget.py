@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -48,3 +49,42 @@ def test_listed_within_stops_after_the_allowance(spark):
     assert {r["g"]: r["count"] for r in got} == {"x": 4, "y": 35}
     got = budget.listed_within(df, ["g"], ["i"], "cost", 4000).groupBy("g").count().collect()
     assert {r["g"]: r["count"] for r in got} == {"x": 40, "y": 40}
+
+
+def test_one_long_row_among_many_costs_few_jobs(spark):
+    """100,000 rows, one of them dearer than the budget, in a handful of jobs and as by hand."""
+    df = spark.range(100_000).selectExpr(
+        "cast(id as int) AS i", "concat('g', lpad(cast(id div 40 as string), 5, '0')) AS g",
+        "IF(id = 7, 10000, cast(90 + id % 50 as int)) AS cost", "30 AS head")
+    rows = df.orderBy("i").collect()
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(tag, call):
+        spark.sparkContext.setJobGroup(tag, tag)
+        try:
+            return call(), len(tracker.getJobIdsForGroup(tag))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    (kept, dropped), n = jobs("fill", lambda: budget.fill(df, ["i"], "cost", 4000))
+    assert [r["i"] for r in kept] == greedy([r["cost"] for r in rows], 4000) and dropped == len(rows) - len(kept)
+    assert n <= 6
+    (kept, dropped), n = jobs("grouped", lambda: budget.fill_grouped(df, ["g", "i"], "cost", "g", "head", 4000))
+    expected, spent, current = [], 0, None
+    for r in rows:
+        cost = r["cost"] + (r["head"] if r["g"] != current else 0)
+        if spent + cost <= 4000:
+            spent, current = spent + cost, r["g"]
+            expected.append(r["i"])
+    assert [r["i"] for r in kept] == expected and dropped == len(rows) - len(kept)
+    assert n <= 30
+
+
+def test_rows_without_a_cost_are_refused(spark):
+    for cost in ("0", "-1", "NULL"):
+        df = spark.range(3).selectExpr("id AS i", f"IF(id = 1, {cost}, 5) AS cost", "'g' AS g", "1 AS head")
+        with pytest.raises(ValueError, match="positive cost"):
+            budget.fill(df, ["i"], "cost", 9)
+        with pytest.raises(ValueError, match="positive cost"):
+            budget.fill_grouped(df, ["g", "i"], "cost", "g", "head", 9)
+    assert budget.fill(spark.range(0).selectExpr("id AS i", "1 AS cost"), ["i"], "cost", 9) == ([], 0)
