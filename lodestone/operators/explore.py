@@ -15,10 +15,14 @@ from .postings import PostingIndex
 
 @dataclass(frozen=True)
 class ExploreResult:
-    """hits: at most 25 ranked rows. counters: one row saying what was left out."""
+    """hits: at most 25 ranked rows. counters: one row saying what was left out.
+
+    instances: those of the hits by node_key, or None where no overlay can be used.
+    """
 
     hits: DataFrame
     counters: DataFrame
+    instances: DataFrame | None = None
 
 
 def _frequency(term: str):

@@ -1,5 +1,6 @@
 """The six questions over one snapshot."""
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,8 +61,9 @@ class Index:
 
     def explore(self, query: str, max_nodes: int = 5, char_budget: int = S.DEFAULT_CHAR_BUDGET):
         keyed = self.graph.keyed
-        return explore.explore(keyed.nodes.drop("first", "last"), query, keyed.outgoing, max_nodes=max_nodes, char_budget=char_budget,
-                               index=self.postings, incoming=keyed.incoming)
+        found = explore.explore(keyed.nodes.drop("first", "last"), query, keyed.outgoing, max_nodes=max_nodes,
+                                char_budget=char_budget, index=self.postings, incoming=keyed.incoming)
+        return replace(found, instances=self.instances_of(found.hits))
 
     def for_address(self, query: str):
         """(declarations, references) of an address, a name or a type."""
@@ -71,11 +73,24 @@ class Index:
     def impact(self, address: str, direction: str = "dependents", depth: int = impact.DEFAULT_DEPTH):
         graph = self.graph.keyed
         with owned_by(self.graph.tables):  # an answer goes with its snapshot
-            return impact.impact(graph, address, direction, depth)
+            found = impact.impact(graph, address, direction, depth)
+        touched = found.origin.select("node_key").unionByName(found.nodes.select("node_key"))
+        return replace(found, instances=self.instances_of(touched))
 
     def modules(self, filter_text: str = "") -> DataFrame:
+        """(source, n_versions, n_sites, local) per source."""
         return modules.module_usage(self.graph.nodes, filter_text)
 
+    def module_versions(self, filter_text: str = "") -> DataFrame:
+        """(source, version, n_sites, n_versions, local) per source and version; no version is UNPINNED."""
+        return modules.module_versions(self.graph.nodes, filter_text)
+
+    def module_sites(self, filter_text: str = "") -> DataFrame:
+        """(source, version, address, stack, module_dir, file, line) of every call, as rows."""
+        return modules.call_sites(self.graph.nodes, filter_text).select(
+            "source", F.col("pinned").alias("version"), "address", "stack", "module_dir", "file", "line",
+        ).orderBy("source", "version", "module_dir", "address", "file", "line")
+
     def orphans(self) -> DataFrame:
         return orphans.orphans(self.graph.nodes, self.graph.edges, self.graph.roots)
 

@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 
 from lodestone import cli
+from lodestone.operators.modules import UNPINNED
 from lodestone.plans import report
 from lodestone.streaming.host import Host
 from lodestone.tools import Tools
@@ -70,6 +71,19 @@ def test_impact_names_what_a_plan_replaces(fleet):
     assert "(2 instances)" in text
 
 
+def test_answers_carry_their_instances(fleet):
+    _, _, ix = fleet
+    touched = ix.impact("berth.tug")
+    # The origin counts, and so does what the module it feeds into is called by.
+    assert touched.overlay_available
+    assert {r["address"] for r in touched.instances.filter("node_key = '|berth.tug'").collect()} == {"berth.tug"}
+    assert touched.instances.filter("node_key = '|module.yard'").count() == 2
+    assert [r["address"] for r in ix.explore("berth.tug", 1).instances.collect()] == ["berth.tug"]
+    assert [(r["source"], r["version"], r["n_sites"]) for r in ix.module_versions().collect()] == [("./yard", UNPINNED, 1)]
+    assert [(r["source"], r["address"], r["module_dir"]) for r in ix.module_sites("yard").collect()] == [("./yard", "module.yard", "")]
+    assert ix.module_sites("nothing").isEmpty()
+
+
 def test_explore_lists_instances(fleet):
     text = report.explore_text(fleet[2], "berth.tug", 1)
     assert "instances in .: 1   planned: replace\n  berth.tug\n" in text
