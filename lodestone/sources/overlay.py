@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import address as A
-from ..runtime import cut, keep
+from ..runtime import cut, detached, generation, keep, owner
 from ..schema import INSTANCES
 
 # Overlay file names in order of preference, plans before states.
@@ -77,11 +77,25 @@ def discover(listing: DataFrame, roots: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Overlay:
-    """overlays(stack, source, kind, terraform_version), their instances, and failures(source, reason)."""
+    """overlays(stack, source, kind, terraform_version), failures(source, reason), and the read documents.
+
+    Instances are taken out of the documents and written when first asked for; `tables` owns them then.
+    """
 
     overlays: DataFrame
-    instances: DataFrame
+    documents: DataFrame
     failures: DataFrame
+    tables: generation | None = None
+
+    @cached_property
+    def instances(self) -> DataFrame:
+        """Rows of schema.INSTANCES."""
+        with detached(self.tables):
+            resources = keep(plan_instances(self.documents).unionByName(state_instances(self.documents)), "resources")
+            rows = resources.withColumn(
+                "module_address", A.normalize_module_address(F.col("raw_module"))
+            ).drop("raw_module").unionByName(module_instances(resources))
+            return keep(rows.select(INSTANCES.fieldNames()), "instances")
 
     @cached_property
     def sources(self) -> list:
@@ -201,16 +215,13 @@ def build(documents: DataFrame) -> Overlay:
         .when(~is_json, F.concat("source", F.lit(NOT_A_DOCUMENT)))
         .when(kind.isNull(), F.concat("source", F.lit(NEITHER)))
     )
-    docs = cut(parsed.select("pos", "stack", "source", "doc", kind.alias("kind"), reason.alias("reason")))
+    docs = keep(parsed.select("pos", "stack", "source", "doc", kind.alias("kind"), reason.alias("reason")), "documents")
     failures = docs.filter("reason IS NOT NULL").select("pos", "source", "reason")
     good = docs.filter("reason IS NULL")
     last = good.groupBy("stack").agg(F.max("pos").alias("pos"))
     good = good.join(last, ["stack", "pos"])
-    resources = plan_instances(good).unionByName(state_instances(good))
-    rows = resources.withColumn(
-        "module_address", A.normalize_module_address(F.col("raw_module"))
-    ).drop("raw_module").unionByName(module_instances(resources))
     overlays = good.select(
         "stack", "source", "kind", F.coalesce("doc.terraform_version", F.lit("")).alias("terraform_version")
     )
-    return Overlay(overlays, keep(rows.select(INSTANCES.fieldNames()), "instances"), failures)
+    within = owner()
+    return Overlay(overlays, good, failures, within if isinstance(within, generation) else None)

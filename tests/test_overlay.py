@@ -115,3 +115,10 @@ def test_discovery_prefers_plans_and_first_by_name(spark):
     roots = spark.createDataFrame([("a",), ("b",), ("c",), ("e",)], "module_dir string")
     got = {r["stack"]: r["path"] for r in O.discover(listing, roots).collect()}
     assert got == {"a": "a/plan.json", "b": "b/b.tfplan.json", "c": "c/my.tfstate.json"}
+
+
+def test_instances_are_written_when_asked_for(spark):
+    docs = spark.createDataFrame([(0, "live", "p.json", PLAN), (0, "trial", "s.json", STATE)], DOC)
+    found = O.build(docs)
+    assert found.stacks() == ["live", "trial"] and "instances" not in vars(found)
+    assert found.instances.count() == found.instances.count() > 0 and "instances" in vars(found)
