@@ -53,17 +53,27 @@ def _identity(terms: Column) -> Column:
 def _blocks(entries: DataFrame, keys: list, entry: list, peak: Column) -> DataFrame:
     """Block rows of entries (*keys, doc, ...), sorted by folder and key; a group has at most SPAN rows.
 
-    A task holds one folder's part of some ranges of rows, so one shuffle serves the counting of
-    occurrences before this, the grouping and the folders, and a list that most rows are in is spread
-    like its rows.
+    A task holds whole ranges of rows (`_ranged`), so neither the counting of occurrences before this nor
+    the grouping moves an entry, and a list that most rows are in is spread like its rows.
     """
     grouped = entries.groupBy("bucket", *keys, "span").agg(
         F.count("*").alias("n"), F.max(peak).alias("peak"), F.collect_list(F.struct(*entry)).alias("entries"))
     return grouped.sortWithinPartitions("bucket", "key", "span")
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("bucket", _bucket(F.col("key"))).withColumn("span", F.floor(F.col("doc") / SPAN)).repartition("bucket", "span")
+def _ranged(rows: DataFrame, n: int) -> DataFrame:
+    """Rows with their range, whole ranges to a task: a row moves once, as its terms, before they are posted.
+
+    A small table has shorter ranges than SPAN, so that every core has some.
+    """
+    spark = rows.sparkSession
+    width = max(1, min(SPAN, -(-n // spark.sparkContext.defaultParallelism)))
+    tasks = max(1, min(-(-n // width), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return rows.withColumn("span", F.floor(F.col("doc") / width)).repartitionByRange(tasks, "span")
+
+
+def _placed(entries: DataFrame) -> DataFrame:
+    return entries.withColumn("bucket", _bucket(F.col("key")))
 
 
 @dataclass(frozen=True)
@@ -89,15 +99,17 @@ class PostingIndex:
             rows = keep(rows, "tokens")
             stats = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0.0)).alias("total")).first()
             average = max(1.0, stats["total"] / max(stats["n"], 1))
-            occurring = rows.select("doc", "authority", "length", F.explode(X.fused(F.col("terms"))).alias("p"))
-            occurring = occurring.select("doc", "authority", "length", F.col("p.term").alias("key"), F.col("p.weight").alias("w"))
+            texts = _ranged(rows.select("doc", "authority", "length", "terms"), stats["n"])
+            occurring = texts.select("doc", "span", "authority", "length", F.explode(X.fused(F.col("terms"))).alias("p"))
+            occurring = occurring.select("doc", "span", "authority", "length", F.col("p.term").alias("key"), F.col("p.weight").alias("w"))
             counted = _placed(occurring).groupBy("bucket", "key", "span", "doc").agg(
                 F.sum("w").alias("w"), F.first("authority").alias("authority"), F.first("length").alias("length"))
             gain = S.gain(F.col("w"), F.col("length"), average)
             body = _blocks(counted, ["key"], ["doc", "w", "length", "authority"], gain)
             body = kept.result(body, "postings", partition_by="bucket", group_bytes=GROUP)
-            named = rows.select("doc", "authority", F.explode(F.concat(_exact(), _identity(F.col("identity")))).alias("e"))
-            named = _placed(named.select("doc", "authority", "e.*"))
+            titles = _ranged(rows.select("doc", "authority", "address", "name", "type", "identity"), stats["n"])
+            named = titles.select("doc", "span", "authority", F.explode(F.concat(_exact(), _identity(F.col("identity")))).alias("e"))
+            named = _placed(named.select("doc", "span", "authority", "e.*"))
             names = _blocks(named, ["field", "key"], ["doc", "w", "at", "authority"], F.col("w"))
             names = kept.result(names, "names", partition_by="bucket", group_bytes=GROUP)
             docs = kept.result(rows.select("doc", *ORDER).sortWithinPartitions("doc"), "rows", group_bytes=GROUP)

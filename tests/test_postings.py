@@ -81,3 +81,13 @@ def test_empty_graph(nodes):
     index = postings.PostingIndex.build(nodes.limit(0))
     result = explore.explore(nodes.limit(0), "cargo", index=index)
     assert result.hits.count() == 0 and result.counters.first()["considered"] == 0
+
+
+def test_entries_are_not_moved(nodes):
+    """Rows move once, as their terms; counting and grouping their entries needs no shuffle of its own."""
+    rows = nodes.selectExpr("monotonically_increasing_id() AS doc", "split(body, ' ') AS terms")
+    entries = postings._placed(postings._ranged(rows, 94).select("doc", "span", postings.F.explode("terms").alias("key")))
+    counted = entries.groupBy("bucket", "key", "span", "doc").agg(postings.F.count("*").cast("double").alias("w"))
+    blocks = postings._blocks(counted, ["key"], ["doc", "w"], postings.F.col("w"))
+    assert blocks._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sum(r["n"] for r in blocks.collect()) == counted.count()
