@@ -3,6 +3,7 @@
 import pytest
 
 from lodestone.sources import hcl
+from lodestone.sources import tables as T
 
 PLAIN = '''# A lighthouse.
 resource "lamp" "top" {
@@ -38,3 +39,18 @@ def test_a_statement_in_one_step_is_what_its_tokens_say(monkeypatch, text):
     found = hcl.scan_text(text)
     monkeypatch.setattr(hcl._Scan, "statement", lambda self, frame, pos: 0)
     assert hcl.scan_text(text) == found
+
+
+def test_configuration_text_is_spread_at_any_size(spark, tmp_path, monkeypatch):
+    schemas = {n: T._SCHEMAS[n] for n in ("nation", "customer", "orders")}
+    spark.createDataFrame([(1, "N", 0)], schemas["nation"]).write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(1, "C", 1, 2.0, "S")], schemas["customer"]).write.parquet(f"{tmp_path}/customer.parquet")
+    orders = spark.range(300).selectExpr(
+        "id AS o_orderkey", "1L AS o_custkey", "'F' AS o_orderstatus", "1.0D AS o_totalprice",
+        "TIMESTAMP_NTZ '2020-01-01' AS o_orderdate", "'1' AS o_orderpriority")
+    orders.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(T, "_bytes", lambda spark, path: cores * (96 << 20) if "orders" in path else 0)
+    files = T.trade_files(spark, str(tmp_path))
+    assert files.count() == 303
+    assert files.rdd.getNumPartitions() >= cores * 96
