@@ -2,6 +2,7 @@
 
 import pytest
 
+from lodestone.plans.load import load
 from lodestone.sources import hcl
 from lodestone.sources import tables as T
 
@@ -41,6 +42,22 @@ def test_a_statement_in_one_step_is_what_its_tokens_say(monkeypatch, text):
     assert hcl.scan_text(text) == found
 
 
+def test_roots_and_paths_need_neither_nodes_nor_edges(spark):
+    files = spark.createDataFrame([
+        ("top", "top/main.tf", 'module "a" {\n  source = "../sub"\n}\n'),
+        ("sub", "sub/main.tf", 'resource "r" "x" {\n  y = var.z\n}\nvariable "z" {}\n'),
+        ("bare", "bare/main.tf", ""), ("bad", "bad/main.tf", "r {\n"),
+    ], "module_dir string, file string, content string")
+    graph = load(files)
+    assert {r["module_dir"] for r in graph.roots.collect()} == {"top", "bare", "bad"}
+    into = graph.paths_into(files.filter("module_dir = 'sub'").select("module_dir"))
+    assert [tuple(r) for r in into.select("stack", "module_address").collect()] == [("top", "module.a")]
+    assert graph.parse_errors.count() == 1
+    assert not {"nodes", "edges", "declared"} & set(vars(graph))
+    assert graph.edges.filter("to_key = 'sub|var.z'").count() == 1
+    assert {r["node_key"] for r in graph.nodes.filter("module_dir = 'sub'").collect()} == {"sub|r.x", "sub|var.z"}
+
+
 def test_configuration_text_is_spread_at_any_size(spark, tmp_path, monkeypatch):
     schemas = {n: T._SCHEMAS[n] for n in ("nation", "customer", "orders")}
     spark.createDataFrame([(1, "N", 0)], schemas["nation"]).write.parquet(f"{tmp_path}/nation.parquet")
