@@ -222,23 +222,25 @@ def repeated_hot(contexts: DataFrame) -> DataFrame:
     return hit.groupBy("kh", "ch").agg(F.transform(F.array_sort(F.collect_list("d")), lambda d: F.struct(d.alias("d1"), d.alias("d2"))).alias("runs"))
 
 
-def _remove(batches):
-    for pdf in batches:
-        out = []
-        for doc, mark, text, spans in pdf[["doc", "mark", "text", "spans"]].itertuples(index=False):
-            b, kept, removed, count, at = text.encode(), hashlib.sha256(), 0, 0, 0
-            start = end = -1
-            for s in [*sorted((x["s"], x["e"]) for x in spans), (len(b) + 1, len(b) + 1)]:
-                if s[0] <= end:
-                    end = max(end, s[1])
-                    continue
-                if end > start:
-                    kept.update(b[at:start])
-                    removed, count, at = removed + end - start, count + 1, end
-                start, end = s
-            kept.update(b[at:])
-            out.append((doc, mark, removed, count, kept.hexdigest()))
-        yield pd.DataFrame(out, columns=["doc", "mark", "n_removed", "n_spans", "kept"]).astype({"doc": "int64", "mark": "int64"})
+def remaining(b: bytes, spans: list) -> tuple[str, str, int, int, str]:
+    """What is left as text, the maximal runs as start:end, their bytes and number, and the SHA-256 of the bytes left."""
+    runs = []
+    for s, e in sorted((x["s"], x["e"]) for x in spans):
+        if runs and s <= runs[-1][1]:
+            runs[-1][1] = max(e, runs[-1][1])
+        else:
+            runs.append([s, e])
+    kept = b"".join(b[i:j] for i, j in zip([0, *(e for _, e in runs)], [*(s for s, _ in runs), len(b)], strict=True))
+    return (kept.decode(errors="ignore"), ",".join(f"{s}:{e}" for s, e in runs), len(b) - len(kept), len(runs),
+            hashlib.sha256(kept).hexdigest())
+
+
+def _remove(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    out = [(None, "", 0, 0, None) if t is None else remaining(t.encode(), s) for t, s in zip(text, spans, strict=True)]
+    return pd.DataFrame(out, columns=["text", "spans", "n_removed", "n_spans", "kept_sha256"])
+
+
+_REMAINING = "text string, spans string, n_removed long, n_spans long, kept_sha256 string"
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
@@ -268,15 +270,18 @@ def removed_spans(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each document row."""
+    """doc_id, n_bytes (of the input), n_removed, n_spans, kept_sha256, spans and text for each document row.
+
+    spans are the removed runs, start:end in bytes of the input, comma-joined; text is what is left. A run
+    may begin or end inside a character: kept_sha256 is of the exact bytes, text leaves out such odd bytes.
+    """
     text = F.coalesce("text", F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-2 ** 63))
     docs = docs.select("doc_id", text.alias("text"), key.alias("doc"), F.xxhash64(text).alias("mark"))
-    spans = removed_spans(docs)
-    texts = filtered_join(docs.select("doc", "mark", "text"), spans, ["doc", "mark"]).dropDuplicates(["doc", "mark"])
-    cut = keep(texts.mapInPandas(_remove, "doc long, mark long, n_removed long, n_spans long, kept string"), "cut")
-    rows = docs.select("doc_id", "doc", "mark", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
-    rows = rows.join(cut, ["doc", "mark"], "left")
-    zero = F.lit(0).cast("long")
-    return rows.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
-                       F.coalesce("kept", "whole").alias("kept_sha256"))
+    rows = docs.join(removed_spans(docs), ["doc", "mark"], "left")
+    # Only texts that lose bytes go to Python.
+    remove = F.pandas_udf(_remove, _REMAINING)
+    rows = rows.withColumn("cut", remove(F.when(F.col("spans").isNotNull(), F.col("text")), "spans"))
+    return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "cut.n_removed", "cut.n_spans",
+                       F.coalesce("cut.kept_sha256", F.sha2(F.col("text").cast("binary"), 256)).alias("kept_sha256"),
+                       "cut.spans", F.coalesce("cut.text", "text").alias("text"))

@@ -68,6 +68,28 @@ def test_suffix_dedup(docs, none, texts):
     assert suffix_dedup.dedup(none).count() == 0
 
 
+def test_suffix_dedup_shows_what_it_removed(spark):
+    """Of planted passages of more than 50 words, exactly those of 400 bytes and more go, and the result says where."""
+    r = random.Random(9)
+    own = [words(r, 60) for _ in range(9)]
+    long, short = (" ".join("".join(r.choice("abdeimnorst") for _ in range(n)) for _ in range(60)) for n in (10, 5))
+    wide = "".join(r.choice("éàüö") for _ in range(250))  # the odd bytes of its neighbours are equal too
+    texts = [own[0] + "#" + long + "|" + own[1], own[2] + "+" + long + "-" + own[3], own[4] + "#" + short + "|" + own[5],
+             own[6] + "+" + short + "-" + own[7], own[8], None, "é" + wide + "x", "ũ" + wide + "y", long + "^" + own[0][:99] + "~" + long]
+    assert len(long.split()) == len(short.split()) == 60 and len(short) < 400 < len(long) == 659
+    got = rows_of(suffix_dedup.dedup(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)))
+    want = {0: own[0] + "#|" + own[1], 1: own[2] + "+-" + own[3], 6: "x", 7: "y", 8: "^" + own[0][:99] + "~"}
+    for i, t in enumerate(texts):
+        b, g = (t or "").encode(), got[i]
+        runs = [tuple(map(int, x.split(":"))) for x in g["spans"].split(",") if x]
+        kept = b"".join(b[k:k + 1] for k in range(len(b)) if not any(s <= k < e for s, e in runs))
+        assert g["text"] == want.get(i, t or "")
+        assert (g["n_bytes"], g["n_removed"], g["n_spans"]) == (len(b), sum(e - s for s, e in runs), len(runs))
+        assert hashlib.sha256(kept).hexdigest() == g["kept_sha256"] and kept.decode(errors="ignore") == g["text"]
+    assert got[0]["spans"] == f"{len(own[0]) + 1}:{len(own[0]) + 660}" and got[8]["spans"] == "0:659,760:1419"
+    assert (got[6]["spans"], got[7]["spans"]) == ("1:502", "1:502")
+
+
 def test_repeated_contexts_and_hot_path_agree(spark):
     r = random.Random(1)
     core = bytes(r.randrange(97, 101) for _ in range(550))
