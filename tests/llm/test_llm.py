@@ -90,6 +90,46 @@ def test_suffix_dedup_shows_what_it_removed(spark):
     assert (got[6]["spans"], got[7]["spans"]) == ("1:502", "1:502")
 
 
+def test_suffix_dedup_shows_passages_of_more_than_50_words(spark, monkeypatch):
+    """Passages that another row has too are shown from 51 words on, though all are shorter than 400 bytes; a text's own repeats are not."""
+    r = random.Random(19)
+    passage = {n: " ".join("".join(r.choice("abdeimnorst") for _ in range(5)) for _ in range(n)) for n in (50, 51, 60)}
+    own = [words(r, 30) for _ in range(20)]
+    texts = [own[0] + "\n" + passage[60] + " " + own[1], passage[60].replace(" ", "\t ") + " é " + own[2], own[3] + " " + passage[51], passage[51] + " " + own[4],
+             own[5] + " " + passage[50], passage[50] + " " + own[6], passage[60][:-12] + " " + own[7], own[8] + "  " + passage[60] + " " + own[9] + " " + passage[51],
+             " ".join([words(r, 60)] * 3), None, "", own[10], own[11] + " " + own[12], own[11] + " " + own[12], "\xa0" + passage[51]]
+    rows = [*enumerate(texts), (None, own[13] + own[14]), (None, own[13] + own[14]), (20, own[15] + own[16]), (20, own[15] + own[16])]
+    # Parts of one passage that begin and end elsewhere.
+    rows += [(30 + i, f"{words(r, 9)} {' '.join(passage[60].split()[i:i + 52])} {words(r, 9)}") for i in range(8)]
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    where = collections.defaultdict(set)
+    for i, w in enumerate(split):
+        for k in range(len(w) - 50):
+            where[tuple(w[k:k + 51])].add(i)
+    want = collections.defaultdict(list)
+    for (i, t), w in zip(rows, split, strict=True):
+        hit = np.zeros(len(w) + 2, np.int8)
+        for k in range(len(w) - 50):
+            if len(where[tuple(w[k:k + 51])]) > 1:
+                hit[k + 1:k + 52] = 1
+        edge = np.diff(hit)
+        at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
+        runs = [*zip(np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0], strict=True)]
+        want[i].append((int(hit.sum()), len(runs), ",".join(f"{at[s][0]}:{at[e - 1][1]}" for s, e in runs)))
+    assert want[0] == [(60, 1, f"{len(own[0]) + 1}:{len(own[0]) + 360}")] and [want[i][0][:2] for i in (1, 2, 3, 4, 5, 6, 7, 8)] == [
+        (60, 1), (51, 1), (51, 1), (0, 0), (0, 0), (58, 1), (111, 2), (0, 0)]
+    assert [want[i][0][0] > 50 for i in (12, 13, None, 20)] == [True] * 4 and max(len(p) for p in passage.values()) < 400
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for hot in (suffix_dedup.HOT, 1):
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        got = collections.defaultdict(list)
+        for g in suffix_dedup.dedup(df).collect():
+            got[g["doc_id"]].append((g["n_passage_words"], g["n_passages"], g["passages"]))
+            if g["doc_id"] in range(1, 7):
+                assert g["n_removed"] == 0 and g["text"] == texts[g["doc_id"]]
+        assert got == want
+
+
 def test_repeated_contexts_and_hot_path_agree(spark):
     r = random.Random(1)
     core = bytes(r.randrange(97, 101) for _ in range(550))
