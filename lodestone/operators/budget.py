@@ -44,6 +44,21 @@ def fill(df: DataFrame, order: list, cost: str, limit: int) -> tuple[list[Row],
     return kept, total - len(kept)
 
 
+def fill_table(df: DataFrame, order: list, cost: str, limit: int) -> tuple[DataFrame, int]:
+    """(kept rows as a table, number dropped): `fill` where a row may cost nothing or have no cost.
+
+    A null cost never fits. A row that costs nothing always does, whatever was kept before it, so those rows take
+    no part in the fold and do not pass through the driver, however many they are. Negative costs are refused.
+    """
+    if limit < 0:
+        return df.limit(0), df.count()
+    costs = F.col(cost)
+    free, unknown = df.agg(F.count_if(costs == 0), F.count_if(costs.isNull())).first()
+    kept, dropped = fill(df.filter(costs != 0), order, cost, limit)
+    rows = df.sparkSession.createDataFrame(kept, df.schema)
+    return rows.unionByName(df.filter(costs == 0)) if free else rows, dropped + unknown
+
+
 def fill_grouped(
     df: DataFrame, order: list, cost: str, group: str, header: str, limit: int
 ) -> tuple[list[Row], int]:

@@ -88,3 +88,18 @@ def test_rows_without_a_cost_are_refused(spark):
         with pytest.raises(ValueError, match="positive cost"):
             budget.fill_grouped(df, ["g", "i"], "cost", "g", "head", 9)
     assert budget.fill(spark.range(0).selectExpr("id AS i", "1 AS cost"), ["i"], "cost", 9) == ([], 0)
+
+
+def test_rows_that_cost_nothing_fit_and_rows_without_a_cost_do_not(spark, tmp_path):
+    """The registered query on documents with empty texts and texts of unknown length, beside a plain fold."""
+    import __spark_entry__ as entry
+
+    costs = [9000, 0, None, 12000, 11000, 0, None, 300]
+    df = spark.createDataFrame(list(enumerate(costs)), "doc_id long, n_chars long")
+    df.selectExpr("doc_id", "'' AS text", "'en' AS lang", "'s' AS source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in entry.budget_greedy(spark, str(tmp_path)).collect())
+    assert got == [(0, 9000, 4), (1, 0, 4), (4, 11000, 4), (5, 0, 4)]
+    kept, dropped = budget.fill_table(df, ["doc_id"], "n_chars", 9300)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 5, 7] and dropped == 4
+    with pytest.raises(ValueError, match="positive n_chars"):
+        budget.fill_table(df.withColumn("n_chars", -df["n_chars"]), ["doc_id"], "n_chars", 9)
