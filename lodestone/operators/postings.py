@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions import text as X
 from ..runtime import keep, numbered, scope
+from . import posted
 
 #: Rows of a block's range, and folders.
 SPAN = 1 << 12
@@ -30,7 +31,7 @@ ORDER = ("module_dir", "address", "node_key", "node_seq")
 
 
 def _bucket(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.crc32(key.cast("binary")), F.lit(BUCKETS)).cast("int")  # as posted.blocks has it
 
 
 def _exact() -> Column:
@@ -61,13 +62,17 @@ def _blocks(entries: DataFrame, keys: list, entry: list, peak: Column) -> DataFr
     return grouped.sortWithinPartitions("bucket", "key", "span")
 
 
+def _width(spark: SparkSession, n: int) -> int:
+    return max(1, min(SPAN, -(-n // spark.sparkContext.defaultParallelism)))
+
+
 def _ranged(rows: DataFrame, n: int) -> DataFrame:
     """Rows with their range, whole ranges to a task: a row moves once, as its terms, before they are posted.
 
     A small table has shorter ranges than SPAN, so that every core has some.
     """
     spark = rows.sparkSession
-    width = max(1, min(SPAN, -(-n // spark.sparkContext.defaultParallelism)))
+    width = _width(spark, n)
     tasks = max(1, min(-(-n // width), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return rows.withColumn("span", F.floor(F.col("doc") / width)).repartitionByRange(tasks, "span")
 
@@ -89,24 +94,17 @@ class PostingIndex:
     @classmethod
     def build(cls, nodes: DataFrame) -> "PostingIndex":
         spark = nodes.sparkSession
-        with scope(spark) as kept:
+        with scope(spark, batch=posted.ROWS) as kept:
             columns = [*ORDER, "kind", "type", "name", "source", "file", "deprecated", "doc", "body"]
-            rows = numbered(nodes.select(*columns), list(ORDER), "ranked")[0].withColumnRenamed("no", "number")
-            rows = rows.select(
-                F.col("number").alias("doc"), *ORDER, "type", "name", X.tokens(S.node_text(F.col("doc"), F.col("body"))).alias("terms"),
-                X.tokens(S.identity_text()).alias("identity"), S.authority(F.col("kind"), F.col("file"), F.col("deprecated")).alias("authority"),
-            ).withColumn("length", X.fused_length(F.col("terms")))
-            rows = keep(rows, "tokens")
+            # The texts become terms on their way into order, so they move once and are not written.
+            read = ["type", "name", X.tokens(S.node_text(F.col("doc"), F.col("body"))).alias("terms"), X.tokens(S.identity_text()).alias("identity"),
+                    S.authority(F.col("kind"), F.col("file"), F.col("deprecated")).alias("authority")]
+            rows = numbered(nodes.select(*columns), list(ORDER), "tokens", [*ORDER, *read])[0].withColumnRenamed("no", "doc")
+            rows = rows.withColumn("length", X.fused_length(F.col("terms")))
             stats = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0.0)).alias("total")).first()
             average = max(1.0, stats["total"] / max(stats["n"], 1))
-            texts = _ranged(rows.select("doc", "authority", "length", "terms"), stats["n"])
-            occurring = texts.select("doc", "span", "authority", "length", F.explode(X.fused(F.col("terms"))).alias("p"))
-            occurring = occurring.select("doc", "span", "authority", "length", F.col("p.term").alias("key"), F.col("p.weight").alias("w"))
-            counted = _placed(occurring).groupBy("bucket", "key", "span", "doc").agg(
-                F.sum("w").alias("w"), F.first("authority").alias("authority"), F.first("length").alias("length"))
-            gain = S.gain(F.col("w"), F.col("length"), average)
-            body = _blocks(counted, ["key"], ["doc", "w", "length", "authority"], gain)
-            body = kept.result(body, "postings", partition_by="bucket", group_bytes=GROUP)
+            body = posted.blocks(rows, _width(spark, stats["n"]), average, S.K1, S.B, X.FUSED_WEIGHT, BUCKETS)
+            body = kept.result(body.sortWithinPartitions("bucket", "key", "span"), "postings", partition_by="bucket", group_bytes=GROUP)
             titles = _ranged(rows.select("doc", "authority", "address", "name", "type", "identity"), stats["n"])
             named = titles.select("doc", "span", "authority", F.explode(F.concat(_exact(), _identity(F.col("identity")))).alias("e"))
             named = _placed(named.select("doc", "span", "authority", "e.*"))

@@ -91,3 +91,27 @@ def test_entries_are_not_moved(nodes):
     blocks = postings._blocks(counted, ["key"], ["doc", "w"], postings.F.col("w"))
     assert blocks._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert sum(r["n"] for r in blocks.collect()) == counted.count()
+
+
+def test_blocks_equal_counting_by_hand(spark, monkeypatch):
+    """Terms and pairs counted in chunks of any size, for rows that have many terms, one, none or no list."""
+    texts = [["a", "b", "a", "b"], None, ["ab"], [], ["é", "a", "b"], ["a"] * 9] * 3
+    rows = spark.createDataFrame([(i, 1.0, len(t or []) * 1.5, t) for i, t in enumerate(texts)],
+                                 "doc long, authority double, length double, terms array<string>").coalesce(1)
+    expected = {}
+    for doc, terms in enumerate(texts):
+        for key, w in [(t, 1.0) for t in terms or []] + [(a + b, 0.5) for a, b in zip(terms or [], (terms or [])[1:])]:
+            expected[key, doc] = expected.get((key, doc), 0) + w
+    for most, entries in ((1, 1), (7, 3), (1 << 20, 1 << 17)):
+        monkeypatch.setattr(postings.posted, "TERMS", most)
+        monkeypatch.setattr(postings.posted, "ENTRIES", entries)
+        blocks = postings.posted.blocks(rows, 4, 3.0, S.K1, S.B, 0.5, postings.BUCKETS)
+        blocks = blocks.withColumn("same", postings._bucket(postings.F.col("key")) == postings.F.col("bucket")).collect()
+        assert {(r["key"], e["doc"]): e["w"] for r in blocks for e in r["entries"]} == expected
+        assert sum(r["n"] for r in blocks) == len(expected) and all(r["same"] and r["n"] == len(r["entries"]) for r in blocks)
+        for r in blocks:
+            assert {e["doc"] // 4 for e in r["entries"]} == {r["span"]}
+            gains = [e["w"] * (S.K1 + 1) / (e["w"] + S.K1 * (1 - S.B + S.B * e["length"] / 3.0)) for e in r["entries"]]
+            assert r["peak"] == pytest.approx(max(gains))
+    plan = blocks and postings.posted.blocks(rows, 4, 3.0, S.K1, S.B, 0.5, 16)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in plan and "Generate" not in plan
