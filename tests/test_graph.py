@@ -179,3 +179,14 @@ def test_local_targets(spark):
     rows = spark.createDataFrame([c[:2] for c in cases], "d string, s string").select(
         A.local_target(F.col("d"), F.col("s"))).collect()
     assert [r[0] for r in rows] == [c[2] for c in cases]
+
+
+def test_plain_traversals_are_taken_apart_as_by_patterns(spark):
+    raws = ["var.zone", "data.a.b.c", "data.a.b", "data.a", "data", "cloud", "a-b.c_d.e9", "_x.y", "é.b", "a.é", "a.b.0", "a . b", "a[0].b",
+            "a.b[\"c.d\"]", "a.b\n", "a..b", "a.", "data . a.b", "data.a[0].b"]
+    rows = spark.createDataFrame([(r,) for r in raws], "raw string")
+    raw, plain, never = F.col("raw"), A.is_plain(F.col("raw")), F.lit(False)
+    for part in (A.traversal_root, A.traversal_address, A.provider_address, A.traversal_text):
+        got = rows.select("raw", part(raw, plain).alias("fast"), part(raw, never).alias("slow"), plain.alias("plain")).collect()
+        assert [(r["raw"], r["fast"]) for r in got] == [(r["raw"], r["slow"]) for r in got]
+    assert [r["raw"] for r in got if r["plain"]] == raws[:8]

@@ -71,3 +71,19 @@ def test_configuration_text_is_spread_at_any_size(spark, tmp_path, monkeypatch):
     files = T.trade_files(spark, str(tmp_path))
     assert files.count() == 303
     assert files.rdd.getNumPartitions() >= cores * 96
+
+
+def test_references_are_written_once(spark):
+    """The resolved references are edges as they lie; only what is derived from them is written beside."""
+    files = spark.createDataFrame([
+        ("top", "top/main.tf", 'module "a" {\n  source = "../sub"\n  z = local.q\n}\nlocals {\n  q = module.a.o\n}\n'),
+        ("sub", "sub/main.tf", 'resource "r" "x" {\n  y = var.z\n}\nvariable "z" {}\noutput "o" {\n  value = r.x.id\n}\n'),
+    ], "module_dir string, file string, content string")
+    edges = load(files).edges
+    kept = {path.split("/")[-2].rsplit("-", 1)[0]: path.rsplit("/", 1)[0] for path in edges.inputFiles()}
+    assert set(kept) == {"references", "edges"}
+    assert {r["kind"] for r in spark.read.parquet(kept["references"]).select("kind").distinct().collect()} == {"REFERENCES"}
+    found = sorted((r["kind"], r["from_key"], r["to_key"]) for r in edges.collect())
+    assert found == [("CALLS", "top|module.a", "|source.../sub"), ("INPUTS", "top|module.a", "sub|var.z"), ("REFERENCES", "sub|output.o", "sub|r.x"),
+                     ("REFERENCES", "sub|r.x", "sub|var.z"), ("REFERENCES", "top|local.q", "sub|output.o"), ("REFERENCES", "top|local.q", "top|module.a"),
+                     ("REFERENCES", "top|module.a", "top|local.q")]
