@@ -20,7 +20,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ENTRY = "STRUCT<doc: BIGINT, w: DOUBLE, length: DOUBLE, authority: DOUBLE>"
 BLOCK = f"bucket INT, key STRING, span BIGINT, n BIGINT, peak DOUBLE, entries ARRAY<{ENTRY}>"
 #: Terms that are counted at once, and entries of a batch that goes back.
-TERMS = 1 << 20
+TERMS = 1 << 18
 ENTRIES = 1 << 17
 #: Rows that come at once; a row may be a whole document.
 ROWS = 256
